@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import chat, mixing, sharding, urlfilter
+from vellum.llm import chat, fingerprint, mixing, quality, secrets, sharding, urlfilter
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(documents(spark, sf_dir))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(documents(spark, sf_dir))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -27,7 +39,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op7_url_filter, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_secrets, op6_quality, op7_url_filter, op9_fingerprint, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
