@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import chat, fingerprint, mixing, quality, secrets, sharding, urlfilter
+from vellum.llm import chat, dedup, embeddings, fingerprint, mixing, pieces, quality, secrets, sharding, urlfilter
 from vellum.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,22 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.report(documents(spark, sf_dir))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(documents(spark, sf_dir))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
 
@@ -39,7 +51,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_secrets, op6_quality, op7_url_filter, op9_fingerprint, op10_chat)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_secrets, op4_embeddings, op5_minhash, op6_quality, op7_url_filter, op8_sentencepiece, op9_fingerprint, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
