@@ -3,7 +3,7 @@
 1. Every text becomes its set of hashed five-word shingles; the SKETCH smallest hashes are its sketch. Texts with one set are one class, whose
    smallest doc_id stands for it.
 2. Inverted lists of the KEYS smallest hashes of each class generate overlaps: two sets with similarity s lack a shared one with a chance of about
-   (1 - s)^KEYS, under 1e-6 at 0.85. Lists of more than BLOCK classes are cut into blocks whose pairs are handled apart, so none is capped.
+   (1 - s)^KEYS, 3e-6 at 0.8. Lists of more than BLOCK classes are cut into blocks whose pairs are handled apart, so none is capped.
 3. In a list the union sketch estimates similarity; pairs that may reach the threshold (five standard errors of slack) link candidates. Only
    a spanning forest is emitted, so a group of many copies gives as many rows as it has members.
 4. Within the components of these links the full sets are built again from the texts and intersected exactly; a pair whose ends are connected
@@ -28,7 +28,8 @@ from vellum.llm.components import components
 from vellum.llm.groups import Union, runs
 
 WORDS, SKETCH, KEYS = 5, 64, 8
-NUMERATOR, DENOMINATOR = 85, 100
+#: Least similarity as a fraction, so that sizes are compared in whole numbers.
+SIMILARITY = (4, 5)
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 NONE = np.uint32(0xFFFFFFFF)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -107,66 +108,76 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _forest(ids: np.ndarray, sizes: np.ndarray, compare, link) -> None:
+def _forest(ids: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int], compare, link) -> None:
     """Links pairs of a block: compare(i, js) says which of js go with i. Pairs that are connected already are not compared.
     Where two blocks meet, pairs within each are compared too, as a link spares others.
     """
     n, known = len(ids), Union(len(ids))
-    least = sizes * NUMERATOR
+    least, most = sizes * similarity[0], sizes * similarity[1]
     for i in range(n - 1):
         js = np.arange(i + 1, n)
         roots = known.roots()
-        js = js[(roots[js] != roots[i]) & (least[js] <= sizes[i] * DENOMINATOR) & (least[i] <= sizes[js] * DENOMINATOR)]
+        js = js[(roots[js] != roots[i]) & (least[js] <= most[i]) & (least[i] <= most[js])]
         if len(js):
             for j in js[compare(i, js)].tolist():
                 if known.join(i, j):
                     link(int(ids[i]), int(ids[j]))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slack = 5 * (0.85 * 0.15 / SKETCH) ** 0.5
-    a: list[int] = []
-    b: list[int] = []
-    for group in runs(batches, ["key", "i", "j"]):
-        if group.num_rows > 1:
-            ids = group["rep"].to_numpy()
-            sizes = group["n"].to_numpy()
-            sk = np.full((len(ids), SKETCH), NONE, np.uint32)
-            for r, s in enumerate(group["sketch"].to_pylist()):
-                v = np.frombuffer(s, np.uint32)
-                sk[r, : len(v)] = v
-            _forest(ids, sizes, lambda i, js: estimates(sk[i], sk[js]) >= 0.85 - slack, lambda x, y: (a.append(x), b.append(y)))  # noqa: B023
-        if len(a) > 10_000:
-            yield _edges(a, b)
-            a.clear(), b.clear()
-    yield _edges(a, b)
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    a: list[int] = []
-    b: list[int] = []
-    for group in runs(batches, ["root", "i", "j"]):
-        if group.num_rows > 1:
-            ids = group["doc_id"].to_numpy()
-            sets = [shingles(t, words) for t in group["text"].to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            values, place = np.unique(np.concatenate(sets), return_inverse=True)
-            mark = np.zeros(len(values), bool)
-
-            def same(i: int, js: np.ndarray) -> np.ndarray:
-                mark[place[starts[i] : starts[i + 1]]] = True  # noqa: B023
-                first = int(js[0])
-                hits = np.add.reduceat(mark[place[starts[first] :]].astype(np.int64), starts[first:-1] - starts[first])[js - first]  # noqa: B023
-                mark[place[starts[i] : starts[i + 1]]] = False  # noqa: B023
-                return DENOMINATOR * hits >= NUMERATOR * (sizes[i] + sizes[js] - hits)  # noqa: B023
-
-            _forest(ids, sizes, same, lambda x, y: (a.append(x), b.append(y)))
-        if len(a) > 10_000:
-            yield _edges(a, b)
-            a.clear(), b.clear()
-    yield _edges(a, b)
+def _candidates(similarity: tuple[int, int]):
+    wanted = similarity[0] / similarity[1]
+    enough = wanted - 5 * (wanted * (1 - wanted) / SKETCH) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
+        for group in runs(batches, ["key", "i", "j"]):
+            if group.num_rows > 1:
+                ids = group["rep"].to_numpy()
+                sizes = group["n"].to_numpy()
+                sk = np.full((len(ids), SKETCH), NONE, np.uint32)
+                for r, s in enumerate(group["sketch"].to_pylist()):
+                    v = np.frombuffer(s, np.uint32)
+                    sk[r, : len(v)] = v
+                _forest(ids, sizes, similarity, lambda i, js: estimates(sk[i], sk[js]) >= enough, lambda x, y: (a.append(x), b.append(y)))  # noqa: B023
+            if len(a) > 10_000:
+                yield _edges(a, b)
+                a.clear(), b.clear()
+        yield _edges(a, b)
+
+    return run
+
+
+def _verified(similarity: tuple[int, int]):
+    over, under = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        a: list[int] = []
+        b: list[int] = []
+        for group in runs(batches, ["root", "i", "j"]):
+            if group.num_rows > 1:
+                ids = group["doc_id"].to_numpy()
+                sets = [shingles(t, words) for t in group["text"].to_pylist()]
+                sizes = np.array([len(s) for s in sets])
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                values, place = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(values), bool)
+
+                def same(i: int, js: np.ndarray) -> np.ndarray:
+                    mark[place[starts[i] : starts[i + 1]]] = True  # noqa: B023
+                    first = int(js[0])
+                    hits = np.add.reduceat(mark[place[starts[first] :]].astype(np.int64), starts[first:-1] - starts[first])[js - first]  # noqa: B023
+                    mark[place[starts[i] : starts[i + 1]]] = False  # noqa: B023
+                    return under * hits >= over * (sizes[i] + sizes[js] - hits)  # noqa: B023
+
+                _forest(ids, sizes, similarity, same, lambda x, y: (a.append(x), b.append(y)))
+            if len(a) > 10_000:
+                yield _edges(a, b)
+                a.clear(), b.clear()
+        yield _edges(a, b)
+
+    return run
 
 
 def tiles(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
@@ -176,33 +187,35 @@ def tiles(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
     return rows.withColumn("tile", F.explode(pair)).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", node)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def candidates(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): links between classes (rep, n, keys, sketch) whose sketches come near the threshold."""
     keyed = classes.filter(F.col("n") > WORDS).select("rep", F.explode("keys").alias("key"))
     long = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     member = keyed.join(long, "key").join(classes.select("rep", "n", "sketch"), "rep")
     dealt = tiles(member, "key", "rep", F.ceil(F.col("c") / BLOCK)).select("key", "i", "j", "rep", "n", "sketch")
-    return dealt.mapInArrow(_candidates, "a long, b long")
+    return dealt.mapInArrow(_candidates(similarity), "a long, b long")
 
 
-def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): links between documents of one group (node, root) whose full sets reach the threshold."""
     every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     sized = every.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     total = sized.groupBy("root").agg(F.sum("n").alias("total"))
     where = sized.join(total, "root").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"))
     texts = docs.select(named("doc_id").cast("long").alias("doc_id"), named("text").alias("text")).join(where, "doc_id")
-    return tiles(texts, "root", "doc_id", F.col("blocks")).select("root", "i", "j", "doc_id", "text").mapInArrow(_verified, "a long, b long")
+    return tiles(texts, "root", "doc_id", F.col("blocks")).select("root", "i", "j", "doc_id", "text").mapInArrow(_verified(similarity), "a long, b long")
 
 
-def linked(docs: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    if not 4 * similarity[1] <= 5 * similarity[0] <= 5 * similarity[1]:
+        raise ValueError("similarity lies between 0.8, for which the keys suffice, and 1")
     s = stored(sketches(docs), "sketches")
     real = s.filter("n > 0 and doc_id is not null")
     keys = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = stored(real.join(keys.withColumnsRenamed({"h1": "k1", "h2": "k2"}), F.expr("h1 = k1 and h2 = k2 and doc_id = rep")).dropDuplicates(["h1", "h2"]).select("rep", "h1", "h2", "n", "keys", "sketch"), "classes")
-    near = components(candidates(classes))
-    roots = components(verified(docs, classes, near).unionByName(_shared_ids(real, keys)))
+    near = components(candidates(classes, similarity))
+    roots = components(verified(docs, classes, near, similarity).unionByName(_shared_ids(real, keys)))
     named_classes = classes.select("h1", "h2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     out = s.select("doc_id", "n", "h1", "h2").join(named_classes, ["h1", "h2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -216,12 +229,12 @@ def _shared_ids(real: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return linked(only(docs, "doc_id", "text"))
+    return linked(only(docs, "doc_id", "text"), (85, 100))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Columns as before."""
-    out = stored(linked(only(docs, "doc_id", "text")), "linked")
+    out = stored(linked(only(docs, "doc_id", "text"), similarity), "linked")
     ids = out.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(ids, named("doc_id") == F.col("kept_id"), "left_semi")
     if not out.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():

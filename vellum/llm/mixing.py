@@ -49,8 +49,9 @@ def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     key = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole")
     below = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
     reach = cells.join(key, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("middle", below - F.col("words") / F.lit(2.0))
-    taken = F.col("middle") <= F.col("target") - F.col("whole") * F.col("source_size")
-    return reach.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.coalesce(F.max(F.when(taken & (F.col("target") > 0), F.col("cell"))), F.lit(-1)).alias("last_cell"))
+    wanted = F.col("target") - F.col("whole") * F.col("source_size")
+    taken = (wanted > 0) & (F.col("middle") <= wanted)
+    return reach.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.coalesce(F.max(F.when(taken, F.col("cell"))), F.lit(-1)).alias("last_cell"))
 
 
 def copies(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0, size: Column | None = None) -> tuple[DataFrame, dict[str, str]]:
@@ -97,7 +98,7 @@ t AS (SELECT *, least(most, max(level) OVER () * weight) AS target FROM l),
 p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 c AS (SELECT source, cell, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
 m AS (SELECT p.*, c.cell, (sum(c.words) OVER (PARTITION BY c.source ORDER BY c.cell))::DOUBLE - c.words / 2.0::DOUBLE AS middle FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source),
-b AS (SELECT source, source_size, target, whole, coalesce(max(cell) FILTER (target > 0 AND middle <= target - whole * source_size), -1) AS last_cell FROM m GROUP BY ALL)
+b AS (SELECT source, source_size, target, whole, coalesce(max(cell) FILTER (target > whole * source_size AND middle <= target - whole * source_size), -1) AS last_cell FROM m GROUP BY ALL)
 SELECT doc_id, d.source, size, source_size, target, size * (whole + CASE WHEN cell <= last_cell THEN 1 ELSE 0 END) AS taken,
   whole + CASE WHEN cell <= last_cell THEN 1 ELSE 0 END AS copies
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
