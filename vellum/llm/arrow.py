@@ -21,7 +21,8 @@ def batched(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], co
     Batches are as large as Spark's limits of rows and bytes let them be, and are worked on per_call rows at a time.
     """
     names = fresh(df, *[f.name for f in fields])
-    out = T.StructType([*df.schema.fields, *[T.StructField(n, f.dataType) for n, f in zip(names, fields, strict=True)]])
+    every = [f.dataType for f in (*df.schema.fields, *fields)]
+    plain = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate(every)])
     kinds, at = [to_arrow_type(f.dataType) for f in fields], df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,9 +32,10 @@ def batched(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], co
                 part = batch.slice(start, per_call)
                 rows = work(part.column(at).to_pylist())
                 added = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names=plain.names)
 
-    return df.mapInArrow(run, out)
+    # mapInArrow resolves input columns by name, which fails for names with dots
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, plain).toDF(*df.columns, *names)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

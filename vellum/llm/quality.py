@@ -71,7 +71,7 @@ def learn(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     """A model from whole texts and 0/1 labels. Deterministic."""
     rng = np.random.default_rng(seed)
     share = float(np.mean(labels)) if labels else 0.5
-    one_class = not 0 < share < 1
+    one_class = not labels or not 0 < share < 1
     odds = (30.0 if share == 1 else -30.0 if labels else 0.0) if one_class else np.log(share / (1 - share))
     p = {
         "tables": rng.normal(0, 0.1, (WIDTH, 256, FILTERS)),
