@@ -15,7 +15,9 @@ empty table; other columns pass through.
 import hashlib
 import os
 import struct
+from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from vellum.llm.arrow import batched, only
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-CACHE = 200_000
+#: Chunks that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
+CACHE, TEXTS, CHUNKS = 120_000, 128, 4096
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 
@@ -133,7 +136,8 @@ class Codec:
         self.parsed = Parsed(data)
         self.tok, self.sp = build(self.parsed), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(r" *[^ ]+| +$").findall if can_cut(self.parsed) else None
-        self.cache: dict[str, tuple[bytes, bool]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
         self.mark = next((i for i, p in enumerate(self.parsed.pieces) if p[0] == MARK), -1)
 
     def raw(self, texts: list[str]) -> list[tuple[list[int], bool]]:
@@ -149,17 +153,18 @@ class Codec:
         chunks = [self.cut(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        get = self.cache.get
-        new = list({c for cs in chunks for c in cs if c not in self.cache})
-        # a chunk starts with one blank at least, and encoding puts one before it again
-        for c, (ids, ok) in zip(new, self.raw([c[1:] for c in new]), strict=True):
-            # a lone blank at the end of a text is the marker itself, which no text by itself gives
-            self.cache[c] = np.array([self.mark] if c == " " else ids, np.int32).tobytes(), ok
-        out = []
-        for cs in chunks:
-            found = [get(c) for c in cs]
-            out.append((np.frombuffer(b"".join([f[0] for f in found]), np.int32), all([f[1] for f in found])))
-        return out
+            self.unlike.clear()
+        new = list(set(chain.from_iterable(chunks)).difference(self.cache))
+        for at in range(0, len(new), CHUNKS):
+            part = new[at : at + CHUNKS]
+            # a chunk starts with one blank at least, and encoding puts one before it again
+            for c, (ids, ok) in zip(part, self.raw([c[1:] for c in part]), strict=True):
+                # a lone blank at the end of a text is the marker itself, which no text by itself gives
+                self.cache[c] = array("i", [self.mark] if c == " " else ids).tobytes()
+                if not ok:
+                    self.unlike.add(c)
+        get = self.cache.__getitem__
+        return [(np.frombuffer(b"".join(map(get, cs)), np.int32), self.unlike.isdisjoint(cs) if self.unlike else True) for cs in chunks]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -187,9 +192,9 @@ def worker(model: str, digest: bool) -> Callable[[], Callable[[list], list[tuple
 
 def encoded(docs: DataFrame, model: str = MODEL, column: str = "text") -> DataFrame:
     """docs with ids, parity and round_trip (decoding gives the text back)."""
-    return batched(docs, worker(model, False), column, FIELDS)
+    return batched(docs, worker(model, False), column, FIELDS, TEXTS)
 
 
 def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian int32), parity, round_trip."""
-    return batched(only(docs, "doc_id", "text"), worker(model, True), "text", DIGEST).drop("text")
+    return batched(only(docs, "doc_id", "text"), worker(model, True), "text", DIGEST, TEXTS).drop("text")
