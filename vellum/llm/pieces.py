@@ -28,8 +28,8 @@ from vellum.llm.arrow import batched, only
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Chunks that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
-CACHE, TEXTS, CHUNKS = 120_000, 128, 4096
+#: Chunks of each of two generations that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
+CACHE, TEXTS, CHUNKS = 90_000, 128, 4096
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 
@@ -137,6 +137,7 @@ class Codec:
         self.tok, self.sp = build(self.parsed), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(r" *[^ ]+| +$").findall if can_cut(self.parsed) else None
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.unlike: set[str] = set()
         self.mark = next((i for i, p in enumerate(self.parsed.pieces) if p[0] == MARK), -1)
 
@@ -152,9 +153,10 @@ class Codec:
         # the marker that starts a text stands for a blank before it
         chunks = [self.cut(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
-            self.cache.clear()
-            self.unlike.clear()
-        new = list(set(chain.from_iterable(chunks)).difference(self.cache))
+            self.cache, self.old = {}, self.cache
+        missing = set(chain.from_iterable(chunks)).difference(self.cache)
+        self.cache.update({c: self.old[c] for c in missing.intersection(self.old)})
+        new = list(missing.difference(self.old))
         for at in range(0, len(new), CHUNKS):
             part = new[at : at + CHUNKS]
             # a chunk starts with one blank at least, and encoding puts one before it again
