@@ -14,12 +14,25 @@ from vellum.llm.common import fresh, named
 #: Functions travel to the workers by value, so that executors need no copy of this package.
 cloudpickle.register_pickle_by_value(vellum.llm)
 
+#: Most rows and bytes of an Arrow batch: texts are long, and a batch lies in the JVM's and in a worker's memory at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's limits to BATCH; there is no way to set them for one operator, and lower ones a user has set stay."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        have = conf.get(key)
+        if not (have.isdigit() and 0 < int(have) <= most):
+            conf.set(key, str(most))
+
 
 def batched(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], column: str, fields: T.StructType, per_call: int = 256) -> DataFrame:
     """df with fields, whose values follow from column. make() runs once a task; what it returns maps values to tuples.
 
-    Batches are as large as Spark's limits of rows and bytes let them be, and are worked on per_call rows at a time.
+    Batches keep to BATCH and are worked on per_call rows at a time.
     """
+    small_batches(df)
     names = fresh(df, *[f.name for f in fields])
     every = [f.dataType for f in (*df.schema.fields, *fields)]
     plain = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate(every)])

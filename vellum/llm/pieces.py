@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed by hand; its normaliser, metaspace marker, scores (unigram) or merges (byte-pair models) and byte fallback are
-rebuilt as a tokenizers pipeline. Texts are encoded in batches, the library's threads being used where the session allows more than one.
+rebuilt as a tokenizers pipeline. Texts are encoded in batches, the library's threads being used (THREADS a worker).
 Where no piece holds the marker after another character, texts may be cut before each run of markers without changing the result, so a text's
 words are looked up and only new ones are encoded.
 
@@ -29,7 +29,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Chunks of each of two generations that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
-CACHE, TEXTS, CHUNKS = 90_000, 128, 4096
+CACHE, TEXTS, CHUNKS = 60_000, 128, 4096
+#: Threads of the library in each worker: as many as a task may use, not as many as the machine has.
+THREADS = 2
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
 
@@ -175,6 +177,7 @@ class Codec:
 def worker(model: str, digest: bool) -> Callable[[], Callable[[list], list[tuple]]]:
     def make():
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         with open(model, "rb") as f:
             codec = Codec(f.read())
 
