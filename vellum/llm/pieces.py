@@ -12,6 +12,7 @@ Defined results: a null or empty text has no ids; a text of any length is encode
 empty table; other columns pass through.
 """
 
+import gc
 import hashlib
 import os
 import struct
@@ -29,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Chunks of each of two generations that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
-CACHE, TEXTS, CHUNKS = 60_000, 128, 4096
+CACHE, TEXTS, CHUNKS = 90_000, 256, 4096
 #: Threads of the library in each worker: as many as a task may use, not as many as the machine has.
 THREADS = 2
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
@@ -97,8 +98,8 @@ def merges(vocab: dict[str, int], pieces: list[tuple[str, float, int]]) -> list[
     return [(x[4], x[5]) for x in sorted(out)]
 
 
-def build(m: Parsed):
-    """The tokenizers pipeline of a parsed model."""
+def build(m: Parsed, bare: bool = False):
+    """The tokenizers pipeline of a parsed model; bare: for texts whose marker is in place, without a normaliser."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     vocab = {p[0]: i for i, p in enumerate(m.pieces)}
@@ -114,7 +115,8 @@ def build(m: Parsed):
         steps.append(normalizers.Prepend(MARK if m.escape else " "))
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
-    tok.normalizer = normalizers.Sequence(steps)
+    if not bare:
+        tok.normalizer = normalizers.Sequence(steps)
     tok.add_tokens([AddedToken(p[0], normalized=False, special=False) for p in m.pieces if p[2] == USER])
     tail: list = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()] if m.byte_fallback else [decoders.Replace(MARK, " "), decoders.Fuse()]
     tok.decoder = decoders.Sequence([*tail, *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
@@ -138,9 +140,11 @@ class Codec:
         self.parsed = Parsed(data)
         self.tok, self.sp = build(self.parsed), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(r" *[^ ]+| +$").findall if can_cut(self.parsed) else None
+        self.bare = build(self.parsed, bare=True) if self.cut else None
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.unlike: set[str] = set()
+        self.lost: set[str] = set()
         self.mark = next((i for i, p in enumerate(self.parsed.pieces) if p[0] == MARK), -1)
 
     def raw(self, texts: list[str]) -> list[tuple[list[int], bool]]:
@@ -149,26 +153,38 @@ class Codec:
         theirs = self.sp.encode(texts, num_threads=1)
         return [(b, a == b) for a, b in zip(mine, theirs, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+    def chunk(self, new: list[str]) -> None:
+        """Takes up the ids of chunks: each starts with one blank at least, which is the marker that a text gets in front."""
+        mine = [e.ids for e in self.bare.encode_batch_fast([c.replace(" ", MARK) for c in new], add_special_tokens=False)]
+        theirs = self.sp.encode([c[1:] for c in new], num_threads=1)
+        for i, c in enumerate(new):
+            if c == " ":
+                # a lone blank at the end of a text is the marker itself, which no text by itself gives
+                mine[i] = theirs[i] = [self.mark]
+        if mine != theirs:
+            self.unlike.update(c for c, a, b in zip(new, mine, theirs, strict=True) if a != b)
+        back = self.tok.decode_batch(theirs, skip_special_tokens=False)
+        self.lost.update(c for c, t in zip(new, back, strict=True) if len(c) != len(t) + 1 or not c.endswith(t))
+        self.cache.update(zip(new, [array("i", ids).tobytes() for ids in theirs], strict=True))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """ids, parity and whether decoding gives the text back, of each text. Decoding goes chunk by chunk as encoding does: no piece and no
+        run of byte pieces reaches across the blank that starts a chunk."""
         if self.cut is None:
-            return [(np.array(ids, np.int32), ok) for ids, ok in self.raw(texts)]
+            coded = self.raw(texts)
+            return [(np.array(ids, np.int32), ok, t == b) for t, (ids, ok), b in zip(texts, coded, self.decode([ids for ids, _ in coded]), strict=True)]
         # the marker that starts a text stands for a blank before it
         chunks = [self.cut(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
             self.cache, self.old = {}, self.cache
         missing = set(chain.from_iterable(chunks)).difference(self.cache)
-        self.cache.update({c: self.old[c] for c in missing.intersection(self.old)})
-        new = list(missing.difference(self.old))
+        known = missing.intersection(self.old)
+        self.cache.update({c: self.old[c] for c in known})
+        new = list(missing - known)
         for at in range(0, len(new), CHUNKS):
-            part = new[at : at + CHUNKS]
-            # a chunk starts with one blank at least, and encoding puts one before it again
-            for c, (ids, ok) in zip(part, self.raw([c[1:] for c in part]), strict=True):
-                # a lone blank at the end of a text is the marker itself, which no text by itself gives
-                self.cache[c] = array("i", [self.mark] if c == " " else ids).tobytes()
-                if not ok:
-                    self.unlike.add(c)
+            self.chunk(new[at : at + CHUNKS])
         get = self.cache.__getitem__
-        return [(np.frombuffer(b"".join(map(get, cs)), np.int32), self.unlike.isdisjoint(cs) if self.unlike else True) for cs in chunks]
+        return [(np.frombuffer(b"".join(map(get, cs)), np.int32), not self.unlike or self.unlike.isdisjoint(cs), not self.lost or self.lost.isdisjoint(cs)) for cs in chunks]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -180,15 +196,15 @@ def worker(model: str, digest: bool) -> Callable[[], Callable[[list], list[tuple
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         with open(model, "rb") as f:
             codec = Codec(f.read())
+        # the vocabulary stays, and a batch makes many short-lived lists: both cost much time in the garbage collector
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
 
         def run(texts: list) -> list[tuple]:
-            texts = [t or "" for t in texts]
-            coded = codec.encode(texts)
-            back = codec.decode([ids.tolist() for ids, _ in coded])
-            same = [a == b for a, b in zip(texts, back, strict=True)]
+            coded = codec.encode([t or "" for t in texts])
             if digest:
-                return [(len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), ok, s) for (ids, ok), s in zip(coded, same, strict=True)]
-            return [(ids, ok, s) for (ids, ok), s in zip(coded, same, strict=True)]
+                return [(len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), ok, back) for ids, ok, back in coded]
+            return coded
 
         return run
 
