@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Chunks of each of two generations that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
-CACHE, TEXTS, CHUNKS = 90_000, 256, 4096
+CACHE, TEXTS, CHUNKS = 200_000, 256, 4096
 #: Threads of the library in each worker: as many as a task may use, not as many as the machine has.
 THREADS = 2
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
@@ -107,7 +107,7 @@ def build(m: Parsed, bare: bool = False):
         tok = Tokenizer(models.Unigram([(p[0], p[1]) for p in m.pieces], m.unknown, m.byte_fallback))
     else:
         plain = {p: i for p, i in vocab.items()}
-        tok = Tokenizer(models.BPE(plain, merges(plain, m.pieces), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback))
+        tok = Tokenizer(models.BPE(plain, merges(plain, m.pieces), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0 if bare else 10_000))
     steps: list = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
@@ -140,6 +140,8 @@ class Codec:
         self.parsed = Parsed(data)
         self.tok, self.sp = build(self.parsed), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(r" *[^ ]+| +$").findall if can_cut(self.parsed) else None
+        #: What each id stands for inside a text; for ids that no text gives, a byte that no text holds.
+        self.said = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"\xff" for p, _, kind in self.parsed.pieces]
         self.bare = build(self.parsed, bare=True) if self.cut else None
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -163,8 +165,8 @@ class Codec:
                 mine[i] = theirs[i] = [self.mark]
         if mine != theirs:
             self.unlike.update(c for c, a, b in zip(new, mine, theirs, strict=True) if a != b)
-        back = self.tok.decode_batch(theirs, skip_special_tokens=False)
-        self.lost.update(c for c, t in zip(new, back, strict=True) if len(c) != len(t) + 1 or not c.endswith(t))
+        said = self.said.__getitem__
+        self.lost.update([c for c, ids in zip(new, theirs, strict=True) if b"".join(map(said, ids)) != c.encode()])
         self.cache.update(zip(new, [array("i", ids).tobytes() for ids in theirs], strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
