@@ -68,6 +68,18 @@ def test_minhash_over_a_table_equals_all_pairs(spark, sf_dir):
     assert sorted(tuple(r) for r in dedup.report(docs).collect()) == expected(rows, 85, 100)
 
 
+@pytest.mark.parametrize("similarity", [(4, 5), (85, 100), (9, 10)])
+def test_minhash_links_short_texts_that_differ_by_a_word(spark, similarity):
+    said = [[f"{c}{i}" for i in range(24)] for c in "abcdefghijklmnop"]
+    rows = list(enumerate(" ".join(t[:n]) for n, t in enumerate(said, 4) for n in (n, n + 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in dedup.linked(docs, similarity).collect())
+    assert got == expected(rows, *similarity)
+    # the shortest linked pair has over / (under - over) shingles: 8 words against 9 at 0.8, 10 against 11 at 0.85
+    least = min(r[1] for r in got if not r[3])
+    assert least - 1 == -(-similarity[0] // (similarity[1] - similarity[0]))
+
+
 def test_minhash_blocks_give_the_same(spark, monkeypatch):
     rows = list(enumerate(texts_of(np.random.default_rng(3))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")

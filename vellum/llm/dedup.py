@@ -188,8 +188,12 @@ def tiles(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
 
 
 def candidates(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): links between classes (rep, n, keys, sketch) whose sketches come near the threshold."""
-    keyed = classes.filter(F.col("n") > WORDS).select("rep", F.explode("keys").alias("key"))
+    """(a, b): links between classes (rep, n, keys, sketch) whose sketches come near the threshold.
+
+    Unequal sets are linked at n / (n + 1) at best, so sets with fewer shingles than reach that are left out.
+    """
+    over, under = similarity
+    keyed = classes.filter(F.col("n") * (under - over) >= over).select("rep", F.explode("keys").alias("key"))
     long = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     member = keyed.join(long, "key").join(classes.select("rep", "n", "sketch"), "rep")
     dealt = tiles(member, "key", "rep", F.ceil(F.col("c") / BLOCK)).select("key", "i", "j", "rep", "n", "sketch")
