@@ -172,6 +172,34 @@ def test_fingerprints_equal_plain_python(spark, sf_dir, rows):
         assert have[4:] == pytest.approx(want[r.doc_id][4:])
 
 
+def test_short_texts_without_anchors_are_like_their_copies_only(spark):
+    rng, s, k, span = np.random.default_rng(5), fingerprint.S, fingerprint.K, fingerprint.SPAN
+
+    def hashed(text):
+        p = text.encode("utf-32-be")
+        return [signed(p[4 * i : 4 * (i + s)]) for i in range(len(text) - s + 1)]
+
+    def bare(text):
+        h = hashed(text)
+        return not any(min(h[i : i + span]) in (h[i], h[i + span - 1]) for i in range(len(text) - k + 1))
+
+    def wanted(text):
+        return f"{(signed(text.encode('utf-32-be')) & (1 << 64) - 1) >> 32:08x}" if bare(text) else "".join(f"{x:08x}" for x in tokens(text))
+
+    said = ["".join(rng.choice(list("abcdefghij klmnop"), n)) for n in range(1, 41) for _ in range(10)]
+    alone = [t for t in said if bare(t) and len(t) >= k]
+    assert len(alone) > 20 and max(map(len, alone)) <= 2 * k - s - 2
+    rows = fingerprint.report(spark.createDataFrame(list(enumerate([*said, ""])), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t, after in zip(rows, said, [*said[1:], ""], strict=False):
+        q = len(t) // 4
+        edited = t[: len(t) - q] + after[:q]
+        assert (r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (hashlib.sha256(edited.encode()).hexdigest(), wanted(t), wanted(edited))
+        assert r.near_edited == (t == edited) or not bare(t)
+        assert r.near_next == (t == after) or not bare(t)
+    copies = fingerprint.report(spark.createDataFrame([(1, alone[0]), (2, alone[0]), (3, alone[1]), (4, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.near_next for r in copies] == [1.0, 0.0, 0.0, 0.0]
+
+
 def test_fingerprint_edges(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None), (None, "q" * 30)], "doc_id long, text string").withColumn("tie", F.lit(1))
     rows = fingerprint.report(docs).collect()

@@ -7,8 +7,8 @@ keep their place relative to each other while a passage may move as a whole). Li
 
 Positions are found in pieces of PIECE code points that overlap by K - 1, which gives the same anchors as the whole text and bounds the arrays.
 
-Defined results: a null text is empty; an empty text has no anchors and is like another empty text only (1.0); a text shorter than K has one
-anchor, the whole text; repeated rows stay; an empty table gives an empty table; other columns are dropped. The next document is the next row by
+Defined results: a null text is empty; an empty text has no anchors and is like another empty text only (1.0); another text without anchors has
+one, the whole text: each text shorter than K, and some of up to 2 K - S - 2 code points, as one more always hold an anchor; repeated rows stay; an empty table gives an empty table; other columns are dropped. The next document is the next row by
 doc_id (null first), then by a hash of the text.
 """
 
@@ -78,7 +78,7 @@ def tokens(points: Column, positions: Column, before: Column) -> Column:
 
 
 def whole(points: Column) -> Column:
-    """What stands for a text of fewer than K code points."""
+    """What stands for a text without anchors."""
     return F.when(F.octet_length(points) > 0, F.array(high(F.xxhash64(points)))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -86,17 +86,17 @@ def fingerprint(text: Column) -> Column:
     """struct(pos, tok) of a text."""
 
     def of(points: Column) -> Column:
-        short = F.octet_length(points) < 4 * K
         none = F.lit(None).cast("int")
-        return let(anchors(points), lambda pos: F.struct(pos.alias("pos"), F.when(short, whole(points)).otherwise(tokens(points, pos, none)).alias("tok")))
+        return let(anchors(points), lambda pos: F.struct(pos.alias("pos"), F.when(F.size(pos) == 0, whole(points)).otherwise(tokens(points, pos, none)).alias("tok")))
 
     return let(code_points(text), of)
 
 
-def edited_tokens(pos: Column, tok: Column, n: Column, cut: Column, kept: Column, new: Column) -> Column:
+def edited_tokens(pos: Column, tok: Column, n: Column, cut: Column, kept: Column, new: Column, every: Column) -> Column:
     """Hashes of the text whose code points from cut on are replaced by new: those before cut as they are, the rest anew.
 
     kept: the last K - 1 code points before cut (or all of them); anchors inside it alone do not exist, so none counts twice.
+    every: the edited text, read only where it has no anchors.
     """
     start = (cut - F.length(kept)).cast("int")
 
@@ -107,7 +107,7 @@ def edited_tokens(pos: Column, tok: Column, n: Column, cut: Column, kept: Column
             before = F.get(pos, k - 1) - start
             return let(anchors(points), lambda own: F.concat(F.slice(tok, F.lit(1), k), tokens(points, own, before)))
 
-        return F.when(F.octet_length(points) / 4 + start < K, whole(points)).otherwise(let(stay, rest))
+        return let(let(stay, rest), lambda found: F.when(F.size(found) == 0, whole(code_points(every))).otherwise(found))
 
     return let(code_points(F.concat(kept, new)), of)
 
@@ -173,10 +173,11 @@ def report(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     cut = n - q
     d = d.withColumns({"n": n, "cut": cut, "new": F.substring("next_text", F.lit(1), q)})
     kept = F.least(F.col("cut"), F.lit(K - 1))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("cut")), "new")
     d = d.withColumns(
         {
-            "e": edited_tokens(F.col("f.pos"), F.col("f.tok"), F.col("n"), F.col("cut"), F.substring("text", F.col("cut") - kept + 1, kept), F.col("new")),
-            "edited_sha256": F.sha2(F.concat(F.substring("text", F.lit(1), F.col("cut")), "new"), 256),
+            "e": edited_tokens(F.col("f.pos"), F.col("f.tok"), F.col("n"), F.col("cut"), F.substring("text", F.col("cut") - kept + 1, kept), F.col("new"), edited),
+            "edited_sha256": F.sha2(edited, 256),
         }
     )
     return d.select(
