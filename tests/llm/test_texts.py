@@ -126,6 +126,15 @@ def test_pieces_equal_the_library_and_decode_to_the_texts(spark, sf_dir):
     assert pieces.encoded(docs.limit(0)).count() == 0
 
 
+def test_texts_with_the_marker_of_their_own_equal_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = np.random.default_rng(6)
+    texts = ["x▁ y", "▁ ▁", "▁", " ▁ ", "done ▁▁▁▁ ▁▁ 40%\n▁▁ ▁▁▁ 60%", "plain words", "", *("".join(rng.choice(list("▁▁  ab█\n"), 30)) for _ in range(200)), "▁ x " * 50_000]
+    rows = pieces.encoded(table(spark, texts)).orderBy("doc_id").collect()
+    assert [list(r.ids) for r in rows] == sp.encode(texts)
+    assert all(r.parity and r.round_trip == ("▁" not in r.text) for r in rows)
+
+
 # fingerprints
 
 

@@ -3,10 +3,10 @@
 The model's protobuf is parsed by hand; its normaliser, metaspace marker, scores (unigram) or merges (byte-pair models) and byte fallback are
 rebuilt as a tokenizers pipeline. Texts are encoded in batches, the library's threads being used (THREADS a worker).
 Where no piece holds the marker after another character, texts may be cut before each run of markers without changing the result, so a text's
-words are looked up and only new ones are encoded.
+words are looked up and only new ones are encoded. A text that holds the marker's own character is not cut, as a blank after it is no boundary.
 
 Parity: every distinct chunk is encoded by the sentencepiece library too when it is first met; where they differ, its ids are taken and the text's
-parity is false. A whole text's ids are the concatenation of its chunks'.
+parity is false. A whole text's ids are the concatenation of its chunks'. Texts that are not cut are encoded by both libraries as a whole.
 
 Defined results: a null or empty text has no ids; a text of any length is encoded whole; repeated rows get equal results; an empty table gives an
 empty table; other columns pass through.
@@ -124,7 +124,8 @@ def build(m: Parsed, bare: bool = False):
 
 
 def can_cut(m: Parsed) -> bool:
-    """Whether no piece holds a marker after another character, and normalisation works on characters one by one."""
+    """Whether no piece holds a marker after another character, and normalisation works on characters one by one: then texts without a marker
+    of their own may be cut before blanks."""
     inner = any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
     return m.escape and m.dummy_prefix and any(p[0] == MARK for p in m.pieces) and not m.charsmap and not m.squeeze and not inner and not any(k == USER for _, _, k in m.pieces)
 
@@ -169,12 +170,22 @@ class Codec:
         self.lost.update([c for c, ids in zip(new, theirs, strict=True) if b"".join(map(said, ids)) != c.encode()])
         self.cache.update(zip(new, [array("i", ids).tobytes() for ids in theirs], strict=True))
 
+    def uncut(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
+        """What encode gives, for texts that are encoded and decoded whole."""
+        coded = self.raw(texts)
+        return [(np.array(ids, np.int32), ok, t == b) for t, (ids, ok), b in zip(texts, coded, self.decode([ids for ids, _ in coded]), strict=True)]
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """ids, parity and whether decoding gives the text back, of each text. Decoding goes chunk by chunk as encoding does: no piece and no
         run of byte pieces reaches across the blank that starts a chunk."""
         if self.cut is None:
-            coded = self.raw(texts)
-            return [(np.array(ids, np.int32), ok, t == b) for t, (ids, ok), b in zip(texts, coded, self.decode([ids for ids, _ in coded]), strict=True)]
+            return self.uncut(texts)
+        own = [i for i, t in enumerate(texts) if MARK in t]
+        if own:
+            out = self.encode(["" if MARK in t else t for t in texts])
+            for i, coded in zip(own, self.uncut([texts[i] for i in own]), strict=True):
+                out[i] = coded
+            return out
         # the marker that starts a text stands for a blank before it
         chunks = [self.cut(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
