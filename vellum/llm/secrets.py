@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and strings that a tokenizer finds no words in.
 
 Fixed kinds, each leftmost and non-overlapping: assign (a key word, : or =, and a value of 6 or more characters), access (AKIA and capitals and
-digits, 20 or more characters) and hex (24 or more of 0-9a-f). The method adds kind random: runs of 20 or more of A-Za-z0-9+/_=- that hold a
-digit and a letter and give fewer than RATIO characters per token of a byte-level vocabulary, words and names giving more. Known digests (after
-a name such as sha256 or md5, or integrity values) and identifiers (UUIDs, paths and other strings of words, dates, numbers with separators) are left out, and so is what overlaps a fixed
-span. Spans are code points, end exclusive.
+digits, 20 or more characters) and hex (24 or more of 0-9a-f). The method adds kind random: strings of LEAST or more of A-Za-z0-9+/_=- that hold a
+letter and give fewer than RATIO characters per token of a byte-level vocabulary, words and names giving more. Fixed spans are cut out of a run
+first. What is left is tested whole; if it is not random, what lies between its words is, at / and =, and then at - _ and + too, so that words before
+or after a key hide none. Known digests (after a name such as sha256 or md5, or integrity values) and identifiers (UUIDs, paths and other strings of
+words, dates, numbers with separators) are left out. Spans are code points, end exclusive. Shorter random strings are found in an assignment only.
 
 Defined results: a null text is empty; an empty text has no spans; a text of any length is scanned whole; repeated rows get equal results;
 an empty table gives an empty table; other columns pass through.
@@ -26,7 +27,12 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Fewest characters of a random string; a part of a name of fewer than PART letters is no sign of a word or of its absence.
+LEAST, PART = 16, 5
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+WORD = re.compile(rf"[A-Za-z]{{{PART},}}")
+#: Characters that parts of a run lie between, in the order in which they are tried.
+BETWEEN = (re.compile(r"[^/=]+"), re.compile(r"[^/=_+-]+"))
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 WORDY = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,4}|[A-Z][a-z]+)(?:[-_/](?:[A-Za-z]+|[0-9]{1,8}|[a-z]+[0-9]{1,4}))*")
 NUMBER = re.compile(r"[0-9][0-9_/=+-]*")
@@ -65,26 +71,74 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def is_known(text: str, start: int, end: int) -> bool:
-    """Whether the string is a named digest or an identifier."""
+def chars_a_token(run: str, enc) -> float:
+    return len(run) / max(1, len(enc.encode_ordinary(run)))
+
+
+def is_known(text: str, start: int, end: int, enc, ratio: float = RATIO) -> bool:
+    """Whether the string is a named digest or an identifier, whose words have to be ones by the ratio if they are long enough to tell."""
     run = text[start:end]
-    if UUID.fullmatch(run) or WORDY.fullmatch(run) or NUMBER.fullmatch(run):
+    if UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return True
+    if WORDY.fullmatch(run):
+        words = WORD.findall(run)
+        n = sum(map(len, words))
+        return n < LEAST or n >= ratio * sum(len(enc.encode_ordinary(w)) for w in words)
     return bool(DIGEST.fullmatch(run) and (run.startswith("sha") or DIGEST_NAME.search(text[max(0, start - 24) : start])))
 
 
+def is_random(text: str, start: int, end: int, enc, ratio: float) -> bool:
+    run = text[start:end]
+    if end - start < LEAST or not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run) and len(set(run)) < 6:
+        return False
+    return chars_a_token(run, enc) < ratio and not is_known(text, start, end, enc, ratio)
+
+
+def random_parts(text: str, start: int, end: int, enc, ratio: float, level: int = 0) -> list[Span]:
+    """Random strings in a run: all of it, or else stretches of its parts that are no words, or else single parts or what they hold."""
+    if is_random(text, start, end, enc, ratio):
+        return [(start, 3, end)]
+    if level == len(BETWEEN) or end - start < LEAST or is_known(text, start, end, enc, ratio):
+        return []
+    out: list[Span] = []
+    stretch: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if stretch:
+            a, b = stretch[0][0], stretch[-1][1]
+            if is_random(text, a, b, enc, ratio):
+                out.append((a, 3, b))
+            else:
+                for x, y in stretch:
+                    out.extend(random_parts(text, x, y, enc, ratio, level + 1))
+            stretch.clear()
+
+    for m in BETWEEN[level].finditer(text, start, end):
+        a, b = m.span()
+        if is_known(text, a, b, enc, ratio):
+            close()
+        elif chars_a_token(m[0], enc) >= ratio:
+            close()
+            out.extend(random_parts(text, a, b, enc, ratio, level + 1))
+        else:
+            stretch.append((a, b))
+    close()
+    return out
+
+
 def random_spans(text: str, taken: list[Span], enc, ratio: float = RATIO) -> list[Span]:
-    """Spans of the kind random that overlap none of taken, which is sorted by start."""
-    out, i, reach = [], 0, -1
+    """Spans of the kind random outside of taken, which is sorted by start."""
+    out, i, reach = [], 0, 0
     for m in RUN.finditer(text):
         a, b = m.span()
+        a = max(a, reach)
         while i < len(taken) and taken[i][0] < b:
+            if taken[i][0] - a >= LEAST:
+                out += random_parts(text, a, taken[i][0], enc, ratio)
             reach, i = max(reach, taken[i][2]), i + 1
-        run = m[0]
-        if reach > a or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or is_known(text, a, b):
-            continue
-        if b - a < ratio * len(enc.encode_ordinary(run)):
-            out.append((a, 3, b))
+            a = max(a, reach)
+        if b - a >= LEAST:
+            out += random_parts(text, a, b, enc, ratio)
     return out
 
 
