@@ -3,12 +3,14 @@
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders that were handed out and not removed yet, by the scope (see scope()) they were handed out in; the first list is of no scope.
 _made: list[list[str]] = [[]]
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -32,7 +34,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read again: its lineage ends at files that outlive any executor."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table that stored() gave as df."""
+    path = _paths.pop(df)
+    for paths in _made:
+        if path in paths:
+            paths.remove(path)
+    remove(df.sparkSession, [path])
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
