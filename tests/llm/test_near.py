@@ -1,9 +1,15 @@
 """Near-duplicate operators against plain Python over all pairs."""
 
+import itertools
+from collections import Counter, defaultdict
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import dedup, embeddings
+from vellum.llm.common import sieve, sifted
 
 
 def components(ids, links):
@@ -80,6 +86,61 @@ def test_minhash_links_short_texts_that_differ_by_a_word(spark, similarity):
     assert least - 1 == -(-similarity[0] // (similarity[1] - similarity[0]))
 
 
+@pytest.mark.parametrize("similarity", [(4, 5), (85, 100), (9, 10), (1, 1)])
+def test_minhash_equals_all_pairs_of_every_small_size(spark, similarity):
+    """For each two set sizes from 1 to 12, two texts of their own words that share all shingles of the smaller set."""
+    rows = [" ".join(f"s{m}x{n}w{i}" for i in range(size + 4)) for m in range(1, 13) for n in range(m, 13) for size in (m, n)]
+    rows = list(enumerate(rows))
+    got = sorted(tuple(r) for r in dedup.linked(spark.createDataFrame(rows, "doc_id long, text string"), similarity).collect())
+    assert got == expected(rows, *similarity)
+
+
+def shared_shingles(sets):
+    """{(a, b): how many} of all pairs of sets that share a shingle, by counting."""
+    held, out = defaultdict(list), Counter()
+    for i, s in sets:
+        for x in s:
+            held[x].append(i)
+    for ids in held.values():
+        out.update(itertools.combinations(ids, 2))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [(4, 5), (85, 100)])
+def test_minhash_over_a_thousand_documents_equals_all_pairs(spark, sf_dir, similarity):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    sets = [(r.doc_id, shingle_set(r.text)) for r in docs.collect()]
+    size, (over, under) = {i: len(s) for i, s in sets}, similarity
+    root = components(list(size), [p for p, n in shared_shingles(sets).items() if under * n >= over * (size[p[0]] + size[p[1]] - n)])
+    got = sorted(tuple(r) for r in dedup.linked(docs, similarity).collect())
+    assert got == sorted((i, n, root[i], root[i] == i) for i, n in size.items())
+    assert sum(not r[3] for r in got) > 10
+    assert sorted(r.doc_id for r in dedup.keep(docs, similarity).collect()) == [r[0] for r in got if r[3]]
+
+
+def test_of_rows_with_one_doc_id_the_first_text_stays(spark):
+    rows = [(1, "b c d e f g", 1), (1, "a b c d e f", 2), (1, None, 3), (1, "a b c d e f", 1), (2, "z y x w v u", 1), (3, "a b c d e f", 9), (None, "a b c d e f", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int").repartition(4)
+    assert sorted(map(tuple, dedup.keep(docs).collect()), key=str) == sorted([(1, "a b c d e f", 1), (2, "z y x w v u", 1), (None, "a b c d e f", 4)], key=str)
+
+
+def test_a_sieve_loses_nothing_and_holds_little_back(spark):
+    ids = spark.range(0, 20_000, 2).withColumnRenamed("id", "x")
+    rows = spark.range(20_000).withColumn("word", F.lit(1)).unionByName(spark.createDataFrame([(None, 1)], "id long, word int"))
+    inside, outside = (sifted(rows, F.col("id"), sieve(ids), side) for side in (True, False))
+    assert inside.count() + outside.count() == 20_001 and outside.columns == rows.columns
+    assert outside.filter("id % 2 = 0").count() == 0 and inside.count() < 10_500
+    assert outside.filter("id is null").count() == 1 and sieve(ids.limit(0)).count() == 0
+
+
+def test_stored_tables_go_when_they_are_done_with(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir()) if shared.exists() else set()
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 2}") for i in range(20)], "doc_id long, text string")
+    assert dedup.keep(docs).count() == 10
+    assert [p.name.partition("-")[0] for p in set(shared.iterdir()) - before] == ["linked"]
+
+
 def test_minhash_blocks_give_the_same(spark, monkeypatch):
     rows = list(enumerate(texts_of(np.random.default_rng(3))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")

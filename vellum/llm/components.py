@@ -1,13 +1,13 @@
 """Connected components by alternating stars (Kiveris et al., 2014), as aggregates and joins.
 
 Nothing is collected and no node's neighbours meet in one row: a star's centre is a minimum, which combines on the map side, and the join back
-to the edges is one that adaptive execution splits where a centre is hot. Every round is written to the shared folder.
+to the edges is one that adaptive execution splits where a centre is hot. Every round is written to the shared folder, and the one before it removed.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import stored
+from vellum.llm.common import forget, stored
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == was or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        e, was = stored(_small(_large(e)), "edges"), now
+        before, e, was = e, stored(_small(_large(e)), "edges"), now
+        forget(before)

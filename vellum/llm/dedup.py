@@ -7,11 +7,13 @@
 3. In a list the union sketch estimates similarity; pairs that may reach the threshold (five standard errors of slack) link candidates. Only
    a spanning forest is emitted, so a group of many copies gives as many rows as it has members.
 4. Within the components of these links the full sets are built again from the texts and intersected exactly; a pair whose ends are connected
-   by verified links already is left out, as it cannot change a component. Large components are cut into blocks by shingles.
+   by verified links already is left out, as it cannot change a component. Large components are cut into blocks by shingles. Texts outside these
+   components are left out by a sieve before anything is shuffled, and keep() shuffles only what a sieve of the dropped ids holds back.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased. Defined results: fewer than five words are one shingle; a null text or one without words has no
-shingle and is linked with nothing; a null doc_id is linked with nothing and kept; rows with one doc_id are one document; an empty table gives an
-empty table; other columns pass through keep().
+shingle and is linked with nothing; a null doc_id is linked with nothing and kept; rows with one doc_id are one document, linked by any of its texts, of
+which keep() keeps the row whose text comes first (by code point, null last; rows of one text by their JSON); an empty table gives an empty table;
+other columns pass through keep().
 """
 
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrow import only
-from vellum.llm.common import named, stored
+from vellum.llm.common import fresh, keep_out, named, scope, sieve, sifted, stored
 from vellum.llm.components import components
 from vellum.llm.groups import Union, runs
 
@@ -181,10 +183,17 @@ def _verified(similarity: tuple[int, int]):
 
 
 def tiles(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
-    """rows once for each pair of blocks (i <= j) of its key that its own block is in; blocks: how many the key has, a column."""
-    own = F.pmod(F.xxhash64(node, F.lit(1)), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    return rows.withColumn("tile", F.explode(pair)).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", node)
+    """rows once for each pair of blocks (i <= j) of its key that its own block is in; blocks: how many the key has, a column.
+
+    The pairs of a key are numbered and dealt to partitions in turn, from a start that its hash gives, so that no two of them meet by chance.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.pmod(F.xxhash64(node, F.lit(1)), blocks).cast("long")
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
+    out = rows.withColumn("tile", F.explode(pair)).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile")
+    number = F.expr("j * (j + 1) div 2 + i")
+    to = F.pmod(F.pmod(F.xxhash64(key), F.lit(n)) + number, F.lit(n)).cast("int")
+    return out.repartitionById(n, to).sortWithinPartitions(key, "i", "j", node)
 
 
 def candidates(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -205,8 +214,9 @@ def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, similarity:
     every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     sized = every.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     total = sized.groupBy("root").agg(F.sum("n").alias("total"))
-    where = sized.join(total, "root").select(F.col("node").alias("doc_id"), "root", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"))
-    texts = docs.select(named("doc_id").cast("long").alias("doc_id"), named("text").alias("text")).join(where, "doc_id")
+    where = stored(sized.join(total, "root").select(F.col("node").alias("id"), "root", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks")), "where")
+    texts = docs.select(named("doc_id").cast("long").alias("doc_id"), named("text").alias("text"))
+    texts = sifted(texts, F.col("doc_id"), sieve(where.select("id")), True).join(where, F.col("doc_id") == F.col("id"))
     return tiles(texts, "root", "doc_id", F.col("blocks")).select("root", "i", "j", "doc_id", "text").mapInArrow(_verified(similarity), "a long, b long")
 
 
@@ -218,8 +228,9 @@ def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFra
     real = s.filter("n > 0 and doc_id is not null")
     keys = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = stored(real.join(keys.withColumnsRenamed({"h1": "k1", "h2": "k2"}), F.expr("h1 = k1 and h2 = k2 and doc_id = rep")).dropDuplicates(["h1", "h2"]).select("rep", "h1", "h2", "n", "keys", "sketch"), "classes")
-    near = components(candidates(classes, similarity))
-    roots = components(verified(docs, classes, near, similarity).unionByName(_shared_ids(real, keys)))
+    with scope(docs.sparkSession):
+        near = components(candidates(classes, similarity))
+        roots = keep_out(components(verified(docs, classes, near, similarity).unionByName(_shared_ids(real, keys))), "roots")
     named_classes = classes.select("h1", "h2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     out = s.select("doc_id", "n", "h1", "h2").join(named_classes, ["h1", "h2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -238,9 +249,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. Columns as before."""
-    out = stored(linked(only(docs, "doc_id", "text"), similarity), "linked")
-    ids = out.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(ids, named("doc_id") == F.col("kept_id"), "left_semi")
-    if not out.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.filter(named("doc_id").isNull()))
+    with scope(docs.sparkSession):
+        out = keep_out(linked(only(docs, "doc_id", "text"), similarity), "linked")
+    (gone,) = fresh(docs, "gone_id")
+    rows = _without(docs, out.filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    again = out.filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias(gone)).agg(F.count("*").alias("c")).filter("c > 1").select(gone)
+    if again.isEmpty():
+        return rows
+    key = named("doc_id").cast("long")
+    many = sifted(rows, key, sieve(again), True).join(again, key == named(gone), "left_semi")
+    whole = F.struct(*[named(c) for c in docs.columns])
+    first = F.struct(named("text").isNull(), named("text"), F.to_json(whole))
+    one = many.groupBy(key).agg(F.min_by(whole, first).alias("row")).select("row.*")
+    return _without(rows, again).unionByName(one)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the doc_ids of ids (one column, of a name that docs has not). Only the rows that a sieve of ids holds back are shuffled."""
+    key, marks = named("doc_id").cast("long"), sieve(ids)
+    left = sifted(docs, key, marks, True).join(ids, key == named(ids.columns[0]), "left_anti")
+    return sifted(docs, key, marks, False).unionByName(left)
