@@ -14,11 +14,6 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def query_terms(query: str) -> list[str]:
-    """The query's terms, each once, by the rule that tokens() has."""
-    return list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
-
-
 def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(TOKEN)), F.lit(0)).cast("long")
 

@@ -1,13 +1,26 @@
-"""Orgs and users as states: each function takes relations and returns the relations after the change."""
+"""Orgs and users as states: each function takes relations and returns the relations after the change.
+
+Nulls: a null id matches nothing, so a row without one is neither changed nor removed, and is no caller.
+"""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PAYMENTS = "array<struct<billed_at:timestamp_ntz,period_start:timestamp_ntz,period_end:timestamp_ntz,amount:double,status:string>>"
+
+
+def register_org(orgs: DataFrame, users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(orgs, users) with the orgs of new and the first admin of each (admin_id, admin_name).
 
-def register_org(orgs: DataFrame, new: DataFrame) -> DataFrame:
-    """orgs with those of new whose name is not taken; of equal names in new, the one with the smallest id."""
-    first = new.withColumn("rn", F.row_number().over(Window.partitionBy("org_name").orderBy("org_id"))).filter("rn = 1").drop("rn")
-    return orgs.unionByName(first.join(orgs.select("org_name"), "org_name", "left_anti"), allowMissingColumns=True)
+    An org whose name is taken, or whose admin's id is, is left out, as is an org without a name; of equal names or admins in new the one with
+    the smallest org_id counts.
+    """
+    own = [c for c in new.columns if c not in ("admin_id", "admin_name")]
+    free = new.filter("org_name is not null and admin_id is not null").join(orgs.select("org_name"), "org_name", "left_anti").join(users.select(F.col("user_id").alias("admin_id")), "admin_id", "left_anti")
+    for key in ("org_name", "admin_id"):
+        free = free.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("org_id"))).filter("rn = 1").drop("rn")
+    admins = free.select(F.col("admin_id").alias("user_id"), F.col("admin_name").alias("user_name"), "org_id", F.lit(True).alias("is_admin"))
+    return orgs.unionByName(free.select(*own), allowMissingColumns=True), users.unionByName(admins, allowMissingColumns=True)
 
 
 def reactivate_org(orgs: DataFrame, users: DataFrame, org_id: int, admin_id: int, admin_name: str) -> tuple[DataFrame, DataFrame]:
@@ -19,9 +32,19 @@ def reactivate_org(orgs: DataFrame, users: DataFrame, org_id: int, admin_id: int
 
 
 def remove_org(relations: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """Every relation without the orgs of ids; one without org_id has to have doc_id and loses those orgs' documents."""
+    """Every relation without the orgs of ids. One without org_id has doc_id and loses those orgs' documents; one with grantor_id and
+    grantee_id loses the grants by and to those orgs' users too."""
     gone = relations["documents"].join(ids, "org_id", "left_semi").select("doc_id")
-    return {k: r.join(ids, "org_id", "left_anti") if "org_id" in r.columns else r.join(gone, "doc_id", "left_anti") for k, r in relations.items()}
+    left = {k: r.join(ids, "org_id", "left_anti") if "org_id" in r.columns else r.join(gone, "doc_id", "left_anti") for k, r in relations.items()}
+    away = relations["users"].join(ids, "org_id", "left_semi").select("user_id")
+    return {k: without_users(r, away) if "grantee_id" in r.columns else r for k, r in left.items()}
+
+
+def without_users(shares: DataFrame, ids: DataFrame) -> DataFrame:
+    """shares without grants by or to the users of ids."""
+    for side in ("grantor_id", "grantee_id"):
+        shares = shares.join(ids.select(F.col("user_id").alias(side)), side, "left_anti")
+    return shares.select("doc_id", "grantor_id", "grantee_id")
 
 
 def postpone_removal(orgs: DataFrame, unpaid: DataFrame, force: bool) -> DataFrame:
@@ -31,8 +54,10 @@ def postpone_removal(orgs: DataFrame, unpaid: DataFrame, force: bool) -> DataFra
 
 
 def register_user(users: DataFrame, new: DataFrame) -> DataFrame:
-    """users with those of new that do not exist yet."""
-    return users.unionByName(new.dropDuplicates(["user_id"]).join(users.select("user_id"), "user_id", "left_anti"))
+    """users with those of new that do not exist yet; of equal ids in new, the row whose JSON comes first. A row without an id is left out."""
+    columns = new.columns
+    one = new.filter("user_id is not null").groupBy("user_id").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("row")).select("row.*")
+    return users.unionByName(one.join(users.select("user_id"), "user_id", "left_anti").select(*columns))
 
 
 def existing_users(users: DataFrame, new: DataFrame) -> DataFrame:
@@ -53,28 +78,55 @@ def login_lookup(users: DataFrame, user_id: int, org_id: int) -> DataFrame:
     return users.filter((F.col("user_id") == user_id) & (F.col("org_id") == org_id)).select("user_id", "org_id", "is_admin")
 
 
-def promote_user(users: DataFrame, user_id: int) -> DataFrame:
-    return users.withColumn("is_admin", F.col("is_admin") | (F.col("user_id") == user_id))
+def caller_org(users: DataFrame, user_id: int) -> DataFrame:
+    """(org_id) of a caller who is an admin, one row; none for anybody else."""
+    return users.filter((F.col("user_id") == user_id) & F.col("is_admin")).select("org_id").limit(1)
+
+
+def permitted(users: DataFrame, wishes: DataFrame) -> DataFrame:
+    """(user_id) of those wishes (caller_id, user_id) whose caller is an admin of the user's org."""
+    callers = users.filter("is_admin").select(F.col("user_id").alias("caller_id"), "org_id")
+    return wishes.join(callers, "caller_id").join(users.select("user_id", "org_id"), ["user_id", "org_id"], "left_semi").select("user_id").distinct()
+
+
+def promote_users(users: DataFrame, wishes: DataFrame) -> DataFrame:
+    """users with those of wishes (caller_id, user_id) made admins whose caller may do that."""
+    asked = permitted(users, wishes).withColumn("asked", F.lit(True))
+    return users.join(asked, "user_id", "left").select(*users.columns[:-1], (F.col("is_admin") | F.coalesce("asked", F.lit(False))).alias("is_admin"))
 
 
 def demote_users(users: DataFrame, ids: DataFrame) -> DataFrame:
-    """users with those of ids demoted, save where the org would be left without an admin."""
-    asked = users.join(ids.select("user_id", F.lit(True).alias("asked")), "user_id", "left")
+    """users with those of ids (for callers' wishes: permitted()) demoted, save where the org would be left without an admin."""
+    asked = users.join(ids.select("user_id").distinct().withColumn("asked", F.lit(True)), "user_id", "left")
     stay = asked.groupBy("org_id").agg(F.count_if(F.col("is_admin") & F.col("asked").isNull()).alias("left_over"))
-    go = F.coalesce("asked", F.lit(False)) & (F.col("left_over") > 0)
-    return asked.join(stay, "org_id").select("user_id", "user_name", "org_id", (F.col("is_admin") & ~go).alias("is_admin"))
+    go = F.coalesce("asked", F.lit(False)) & (F.coalesce("left_over", F.lit(0)) > 0)
+    return asked.join(stay, "org_id", "left").select("user_id", "user_name", "org_id", (F.col("is_admin") & ~go).alias("is_admin"))
 
 
-def remove_users(users: DataFrame, documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(users, documents): the users go, their documents stay with the org and have no owner."""
-    gone = ids.select(F.col("user_id").alias("owner_id"), F.lit(True).alias("gone"))
-    docs = documents.join(gone, "owner_id", "left").withColumn("owner_id", F.when(F.col("gone").isNull(), F.col("owner_id"))).select(*documents.columns)
-    return users.join(ids.select("user_id"), "user_id", "left_anti"), docs
+def remove_users(users: DataFrame, documents: DataFrame, shares: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(users, documents, shares): the users go; their documents stay with the org, have no owner and are read by admins only, so that grants on them
+    go, as do grants by and to the users."""
+    gone = ids.select(F.col("user_id").alias("owner_id")).distinct().withColumn("gone", F.lit(True))
+    marked = documents.join(gone, "owner_id", "left")
+    docs = marked.withColumn("owner_id", F.when(F.col("gone").isNull(), F.col("owner_id"))).select(*documents.columns)
+    theirs = marked.filter("gone").select("doc_id")
+    left = without_users(shares.join(theirs, "doc_id", "left_anti"), ids)
+    return users.join(ids.select("user_id"), "user_id", "left_anti"), docs, left
 
 
-def account_info(orgs: DataFrame, payments: DataFrame) -> DataFrame:
-    """orgs with their payments as an array of structs, by billing time."""
+def account_info(orgs: DataFrame, payments: DataFrame, caller: DataFrame | None = None) -> DataFrame:
+    """orgs with their payments as an array of structs, by billing time; with caller (org_id) only that org's record, whose payments alone are read.
+
+    A record's payments are one value by definition; list_payments() gives them as rows.
+    """
+    if caller is not None:
+        orgs = orgs.join(F.broadcast(caller.limit(1)), "org_id", "left_semi")
+        payments = list_payments(payments, caller)
     fields = F.struct("billed_at", "period_start", "period_end", "amount", "status")
     paid = payments.groupBy("org_id").agg(F.sort_array(F.collect_list(fields)).alias("payments"))
-    plain = F.array().cast("array<struct<billed_at:timestamp_ntz,period_start:timestamp_ntz,period_end:timestamp_ntz,amount:double,status:string>>")
-    return orgs.join(paid, "org_id", "left").withColumn("payments", F.coalesce("payments", plain))
+    return orgs.join(paid, "org_id", "left").withColumn("payments", F.coalesce("payments", F.array().cast(PAYMENTS)))
+
+
+def list_payments(payments: DataFrame, caller: DataFrame) -> DataFrame:
+    """The payments of the caller's org as rows."""
+    return payments.join(F.broadcast(caller.limit(1)), "org_id", "left_semi")

@@ -1,8 +1,13 @@
-"""Grants on documents and the lists of orgs that may be shared with."""
+"""Grants on documents and the lists of orgs that may be shared with.
+
+Nulls: a grant with a null id is none; a null list of orgs is empty; null multi-level sharing is off.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.sources.scratch import stored
+
 
 def share(shares: DataFrame, wishes: DataFrame, documents: DataFrame, users: DataFrame, orgs: DataFrame) -> DataFrame:
     """shares with those wishes (doc_id, grantor_id, grantee_id) that are allowed.
@@ -21,7 +26,7 @@ def share(shares: DataFrame, wishes: DataFrame, documents: DataFrame, users: Dat
         .join(held, ["doc_id", "grantor_id"], "left")
         .filter("grantee_org = doc_org or array_contains(sharable_orgs, grantee_org)")
         .filter("grantor_id = owner_id or (multi_level_share and held)")
-        .filter("grantee_id <> owner_id")
+        .filter("grantee_id <> owner_id or owner_id is null")
         .select("doc_id", "grantor_id", "grantee_id")
     )
     return shares.unionByName(allowed).dropDuplicates(["doc_id", "grantor_id", "grantee_id"])
@@ -37,28 +42,32 @@ def unshared_count(shares: DataFrame, drop: DataFrame) -> DataFrame:
     return gone.agg(F.countDistinct("doc_id").alias("unshared"))
 
 
-def reshare_closure(shares: DataFrame, documents: DataFrame, orgs: DataFrame, depth: int = 3) -> DataFrame:
-    """(doc_id, user_id, level): who reaches a document by at most depth grants, level the fewest.
+def reshare_closure(shares: DataFrame, documents: DataFrame, orgs: DataFrame, depth: int | None = None) -> DataFrame:
+    """(doc_id, user_id, level): who reaches a document by grants, level the fewest that are needed; depth, if given, is the most that count.
 
-    Grants count beyond the first level only where the document's org has multi-level sharing. Every level is one join on doc_id
-    and grantor; (doc_id, user_id) pairs that are known are not followed again, so a cycle ends.
+    Grants count beyond the first level only where the document's org has multi-level sharing. Every level is one join on doc_id and
+    grantor, whose result is written, so that no plan grows with the levels. Pairs that are known are not followed again: cycles end, and the
+    levels go on until one adds nothing.
     """
-    multi = orgs.filter("multi_level_share").select(F.col("org_id"))
-    owned = documents.select("doc_id", F.col("owner_id").alias("user_id"), "org_id")
-    reached = owned.select("doc_id", "user_id", F.lit(0).alias("level"))
-    front = reached
-    deep = documents.join(multi, "org_id", "left_semi").select("doc_id")
-    for level in range(1, depth + 1):
+    grants = stored(shares.select("doc_id", "grantor_id", "grantee_id").dropna().distinct(), "grants")
+    owned = documents.filter("owner_id is not null and doc_id is not null").select("doc_id", F.col("owner_id").alias("user_id"))
+    reached = stored(owned.distinct().withColumn("level", F.lit(0)), "reached")
+    deep = documents.join(orgs.filter("multi_level_share").select("org_id"), "org_id", "left_semi").select("doc_id")
+    front, level = reached, 0
+    while depth is None or level < depth:
+        level += 1
         base = front if level == 1 else front.join(deep, "doc_id", "left_semi")
-        step = base.select("doc_id", F.col("user_id").alias("grantor_id")).join(shares, ["doc_id", "grantor_id"])
+        step = base.select("doc_id", F.col("user_id").alias("grantor_id")).join(grants, ["doc_id", "grantor_id"])
         step = step.select("doc_id", F.col("grantee_id").alias("user_id")).distinct()
-        front = step.join(reached, ["doc_id", "user_id"], "left_anti").withColumn("level", F.lit(level))
+        front = stored(step.join(reached, ["doc_id", "user_id"], "left_anti").withColumn("level", F.lit(level)), "reached")
+        if front.isEmpty():
+            break
         reached = reached.unionByName(front)
     return reached
 
 
 def add_sharable(orgs: DataFrame, org_id: int, other: int) -> DataFrame:
-    grown = F.array_sort(F.array_distinct(F.array_append("sharable_orgs", F.lit(other))))
+    grown = F.array_sort(F.array_distinct(F.array_append(F.coalesce("sharable_orgs", F.array().cast(orgs.schema["sharable_orgs"].dataType)), F.lit(other))))
     return orgs.withColumn("sharable_orgs", F.when(F.col("org_id") == org_id, grown).otherwise(F.col("sharable_orgs")))
 
 

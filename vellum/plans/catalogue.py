@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum import schemas
 from vellum.functions import convert
 from vellum.operators import accounts, billing, documents, search, sharing
 from vellum.sources import scratch, tables
@@ -53,18 +54,30 @@ def user_info(spark, sf_dir):
 
 @query
 def login_lookup(spark, sf_dir):
+    """User 8 and their org, and the same user with another org, who gets no session."""
     u = tables.users(spark, sf_dir)
-    home = u.filter(F.col("user_id") == REGULAR).select("org_id")
-    return u.filter(F.col("user_id") == REGULAR).join(home, "org_id", "left_semi").select("user_id", "org_id", "is_admin")
+    return accounts.login_lookup(u, REGULAR, 5).unionByName(accounts.login_lookup(u, REGULAR, 2))
+
+
+def registered(spark, sf_dir):
+    """One org with a new name, one whose name is taken, one whose admin exists."""
+    old = listed(tables.orgs(spark, sf_dir)).select("org_id", "org_name", "multi_level_share", "status")
+    n, key = tables.table(spark, sf_dir, "nation").filter("n_nationkey < 3"), F.col("n_nationkey")
+    name = F.when(key == 0, F.lit("ORG ONE")).when(key == 2, F.lit("ORG TWO")).otherwise(F.col("n_name"))
+    admin = F.when(key == 2, F.lit(8)).otherwise(key + 1_000_000).cast("long")
+    new = n.select((key + 100).alias("org_id"), name.alias("org_name"), F.lit(False).alias("multi_level_share"), F.lit("Created").alias("status"), admin.alias("admin_id"), F.concat(F.lit("admin of "), "n_name").alias("admin_name"))
+    return accounts.register_org(old, tables.users(spark, sf_dir), new)
 
 
 @query
 def register_org(spark, sf_dir):
-    """One org with a new name, one whose name is taken."""
-    old = listed(tables.orgs(spark, sf_dir)).select("org_id", "org_name", "multi_level_share", "status")
-    n = tables.table(spark, sf_dir, "nation").filter("n_nationkey < 2")
-    new = n.select((F.col("n_nationkey") + 100).alias("org_id"), F.when(F.col("n_nationkey") == 0, F.lit("ORG ONE")).otherwise(F.col("n_name")).alias("org_name"), F.lit(False).alias("multi_level_share"), F.lit("Created").alias("status"))
-    return accounts.register_org(old, new)
+    return registered(spark, sf_dir)[0]
+
+
+@query
+def register_org_admin(spark, sf_dir):
+    """All users once the new org has its first admin."""
+    return registered(spark, sf_dir)[1]
 
 
 @query
@@ -105,7 +118,11 @@ def register_user_rejected(spark, sf_dir):
 
 @query
 def promote_user(spark, sf_dir):
-    return accounts.promote_user(tables.users(spark, sf_dir), REGULAR)
+    """Each caller whose id ends in 0, an admin, promotes the nine users that follow: only those of the caller's own org become admins, and
+    nobody whom user 8 promotes."""
+    u = tables.users(spark, sf_dir)
+    wishes = u.select((F.col("user_id") - F.col("user_id") % 10).alias("caller_id"), "user_id").unionByName(u.select(F.lit(REGULAR).cast("long").alias("caller_id"), "user_id"))
+    return accounts.promote_users(u, wishes)
 
 
 @query
@@ -115,20 +132,49 @@ def demote_user(spark, sf_dir):
     return accounts.demote_users(u, u.filter("is_admin and (org_id < 5 or user_id < 100)").select("user_id"))
 
 
+def removed(spark, sf_dir):
+    u = tables.users(spark, sf_dir)
+    return u, accounts.remove_users(u, tables.documents(spark, sf_dir), tables.shares(spark, sf_dir), u.filter("user_id % 9 = 8").select("user_id"))
+
+
 @query
 def remove_user(spark, sf_dir):
-    u, d = tables.users(spark, sf_dir), tables.documents(spark, sf_dir)
-    _, docs = accounts.remove_users(u, d, u.filter("user_id % 9 = 8").select("user_id"))
-    return docs.select("doc_id", "org_id", "owner_id")
+    return removed(spark, sf_dir)[1][1].select("doc_id", "org_id", "owner_id")
+
+
+@query
+def remove_user_grants(spark, sf_dir):
+    """The grants that are left."""
+    return removed(spark, sf_dir)[1][2]
 
 
 @query
 def remove_user_count(spark, sf_dir):
-    u, d = tables.users(spark, sf_dir), tables.documents(spark, sf_dir)
-    left, _ = accounts.remove_users(u, d, u.filter("user_id % 9 = 8").select("user_id"))
+    u, (left, _, _) = removed(spark, sf_dir)
     return left.agg(F.count("*").alias("users_left")).crossJoin(F.broadcast(u.filter("user_id % 9 = 8").agg(F.count("*").alias("removed"))))
 
 
+@query
+def account_payments(spark, sf_dir):
+    """The payments of the org whose admin user 0 is."""
+    p = accounts.list_payments(tables.payments(spark, sf_dir), accounts.caller_org(tables.users(spark, sf_dir), ADMIN))
+    return p.select("org_id", F.round("amount", 2).alias("amount"), "billed_at", "status")
+
+
+@query
+def account_info_caller(spark, sf_dir):
+    """The record of that org, as the client's schema has it: by field name, instants in UTC, fields without a source null."""
+    org = accounts.caller_org(tables.users(spark, sf_dir), ADMIN)
+    info = accounts.account_info(tables.orgs(spark, sf_dir), tables.payments(spark, sf_dir), org)
+    wire = info.select("org_id", F.struct(F.lit("Enterprise").alias("type"), F.col("status")).alias("subscription"), "payments", "multi_level_share", "sharable_orgs", "org_name")
+    out = convert.convert(wire, schemas.ACCOUNT_INFO)
+    last = F.element_at("payments", -1)
+    return out.select(
+        "org_id", F.col("subscription.type").alias("type"), F.col("subscription.status").alias("status"), F.col("org_address").isNull().alias("no_address"), "multi_level_share", F.array_join("sharable_orgs", ",").alias("sharable_orgs"),
+        F.size("payments").cast("long").alias("n_payments"), F.unix_micros(last["billed_at"]).alias("last_billed"), F.unix_micros(last["period_end"]).alias("last_period_end"),
+    )
+
+
 @query
 def account_info(spark, sf_dir):
     info = accounts.account_info(listed(tables.orgs(spark, sf_dir)), tables.payments(spark, sf_dir))
@@ -177,10 +223,35 @@ def upload_chunks_mb(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum(F.octet_length("block")).alias("n_bytes"))
 
 
+def sizes(d):
+    return d.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size_bytes"))
+
+
 @query
 def download_document(spark, sf_dir):
-    body = documents.download(documents.upload_chunks(texts(spark, sf_dir), BLOCK))
-    return body.select("doc_id", F.sha2("body", 256).alias("sha256"))
+    """Every document as it was, also one that is empty."""
+    d = texts(spark, sf_dir)
+    return documents.download(sizes(d), documents.upload_chunks(d, BLOCK)).select("doc_id", F.sha2("body", 256).alias("sha256"))
+
+
+@query
+def download_stored(spark, sf_dir):
+    """From blocks that were written, read again, and joined."""
+    d = texts(spark, sf_dir)
+    path = scratch.folder(spark, "chunks")
+    documents.write_chunks(documents.upload_chunks(d, 64 * BLOCK), path)
+    return documents.download(sizes(d), spark.read.parquet(path)).select("doc_id", F.sha2("body", 256).alias("sha256"))
+
+
+@query
+def download_guard(spark, sf_dir):
+    """By the last figure of doc_id: 1 lacks its last block, 2 has its first twice, 3 holds a block of the document before, 4 lacks its first."""
+    d, kind = texts(spark, sf_dir), F.col("doc_id") % 10
+    c = documents.upload_chunks(d, BLOCK)
+    lost = c.filter(~((kind == 1) & (F.col("block_no") == F.col("n_blocks") - 1)) & ~((kind == 4) & (F.col("block_no") == 0)))
+    twice = c.filter((kind == 2) & (F.col("block_no") == 0))
+    other = c.filter((kind == 2) & (F.col("block_no") == 0)).withColumn("doc_id", F.col("doc_id") + 1)
+    return documents.download(sizes(d), lost.unionByName(twice).unionByName(other), strict=False).select("doc_id", "intact", F.sha2("body", 256).alias("sha256"))
 
 
 @query
@@ -197,13 +268,59 @@ def encrypt_blocks(spark, sf_dir):
     return c.select("doc_id", F.size("cipher").cast("long").alias("blocks"), F.aggregate("cipher", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)).alias("cipher_len"))
 
 
+@query
+def encrypt_stream(spark, sf_dir):
+    """Block by block, without joining a document before the end."""
+    d = texts(spark, sf_dir)
+    c = documents.encrypt_chunks(documents.upload_chunks(d, BLOCK, 1), KEY)
+    return documents.download(sizes(d), documents.decrypt_chunks(c, KEY)).select("doc_id", F.sha2("body", 256).alias("sha256"))
+
+
+def opened(c, key=KEY, doc_id=None):
+    """Whether each document's ciphers open."""
+    return documents.decrypt_documents(c, key, doc_id).select("doc_id", F.col("body").isNotNull().alias("opens"))
+
+
 @query
 def decrypt_mismatch(spark, sf_dir):
-    """Asked for under another document's id, or with another key, nothing is opened."""
-    c = documents.encrypt_documents(texts(spark, sf_dir).filter("doc_id >= 0"), KEY)
-    other = documents.decrypt_documents(c, KEY, F.col("doc_id") + 1).select("doc_id", F.col("body").isNull().alias("other_id_fails"))
-    wrong = documents.decrypt_documents(c, KEY[::-1]).select("doc_id", F.col("body").isNull().alias("other_key_fails"))
-    return other.join(wrong, "doc_id")
+    """Asked for under another document's id, or with another key, nothing is opened, and nothing empty either."""
+    c = documents.encrypt_documents(texts(spark, sf_dir), KEY)
+    cases = {"right": opened(c), "other_id": opened(c, doc_id=F.col("doc_id") + 1), "other_key": opened(c, KEY[::-1])}
+    out = [df.groupBy("opens").agg(F.count("*").alias("n")).select(F.lit(k).alias("asked"), "opens", "n") for k, df in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query
+def decrypt_swapped(spark, sf_dir):
+    """A document whose last two blocks change places opens only where it has one."""
+    c = documents.encrypt_documents(texts(spark, sf_dir), KEY, BLOCK)
+    n = F.size("cipher")
+    swapped = F.when(n > 1, F.concat(F.slice("cipher", F.lit(1), F.greatest(n - 2, F.lit(0))), F.reverse(F.slice("cipher", F.greatest(n - 1, F.lit(1)), F.lit(2))))).otherwise(F.col("cipher"))
+    return opened(c.withColumn("cipher", swapped))
+
+
+@query
+def decrypt_truncated(spark, sf_dir):
+    """No document opens without its last block."""
+    c = documents.encrypt_documents(texts(spark, sf_dir), KEY, BLOCK)
+    return opened(c.withColumn("cipher", F.slice("cipher", F.lit(1), F.size("cipher") - 1)))
+
+
+@query
+def encrypt_listed_not_stored(spark, sf_dir):
+    """Every tenth text comes again under a new id and name, to be encrypted only: user 0 finds it in the list and by search, but there is no block of it."""
+    d, s, u = tables.documents(spark, sf_dir), tables.shares(spark, sf_dir), tables.users(spark, sf_dir)
+    again = tables.documents(spark, sf_dir, body=True).filter("doc_id % 10 = 0")
+    new = again.select((F.col("doc_id") + 10_000_000).alias("doc_id"), F.concat(F.lit("encrypted/"), "doc_name").alias("doc_name"), "org_id", "owner_id", "text")
+    records, ciphers = documents.encrypt_only(new, KEY)
+    path = scratch.folder(spark, "index")
+    search.add_to_index(new.select("doc_id", "text"), path)
+    found = search.search_index(spark, path, "with").select("doc_id", F.lit(True).alias("found"))
+    shown = documents.list_documents(documents.upload(d, records), s, u, ADMIN).select("doc_id", F.lit(True).alias("listed"))
+    blocks = documents.upload_chunks(texts(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("blocks"))
+    back = documents.decrypt_documents(ciphers, KEY).select("doc_id", F.sha2("body", 256).alias("sha256"))
+    out = back.join(shown, "doc_id", "left").join(found, "doc_id", "left").join(blocks, "doc_id", "left")
+    return out.select("doc_id", "sha256", F.coalesce("listed", F.lit(False)).alias("listed"), F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("blocks", F.lit(0)).alias("blocks"))
 
 
 @query
@@ -248,11 +365,14 @@ def unshare_count(spark, sf_dir):
 
 @query
 def reshare_closure(spark, sf_dir):
-    """Grants of the view, and each grantee grants on to the next two users."""
+    """Grants of the view, each grantee grants on to the next two users, and in every twelfth document ten users in a row do, and back to the owner."""
     m = tables.owners(spark, sf_dir)
     s = tables.shares(spark, sf_dir)
-    on = s.select("doc_id", F.col("grantee_id").alias("grantor_id"), F.explode(F.array((F.col("grantee_id") + 1) % m, (F.col("grantee_id") + 2) % m)).alias("grantee_id")).distinct()
-    return sharing.reshare_closure(s.unionByName(on).distinct(), tables.documents(spark, sf_dir), tables.orgs(spark, sf_dir)).select("doc_id", "user_id", F.col("level").cast("long").alias("level"))
+    on = s.select("doc_id", F.col("grantee_id").alias("grantor_id"), F.explode(F.array((F.col("grantee_id") + 1) % m, (F.col("grantee_id") + 2) % m)).alias("grantee_id"))
+    steps = tables.documents(spark, sf_dir).filter("doc_id % 12 = 0").select("doc_id", "owner_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"))
+    row = steps.select("doc_id", ((F.col("owner_id") + F.col("k") * 3) % m).alias("grantor_id"), F.when(F.col("k") == 10, F.col("owner_id")).otherwise((F.col("owner_id") + F.col("k") * 3 + 3) % m).alias("grantee_id"))
+    every = s.unionByName(on).unionByName(row).distinct()
+    return sharing.reshare_closure(every, tables.documents(spark, sf_dir), tables.orgs(spark, sf_dir)).select("doc_id", "user_id", F.col("level").cast("long").alias("level"))
 
 
 @query
@@ -275,27 +395,72 @@ def set_multi_level_sharing(spark, sf_dir):
 
 @query
 def search_single_term(spark, sf_dir):
-    return rounded(search.search(texts(spark, sf_dir), ["with"]))
+    """The query's case does not matter, and a term that is repeated counts once."""
+    return rounded(search.search(texts(spark, sf_dir), "With with!"))
 
 
 @query
 def search_all_terms(spark, sf_dir):
-    return rounded(search.search(texts(spark, sf_dir), ["the", "with"]))
+    return rounded(search.search(texts(spark, sf_dir), "the With"))
 
 
 @query
 def search_any_terms(spark, sf_dir):
-    return rounded(search.search(texts(spark, sf_dir), ["hather", "anat"], "any"))
+    return rounded(search.search(texts(spark, sf_dir), "hather, anat", "any"))
 
 
 @query
 def search_topk(spark, sf_dir):
-    return rounded(search.top(search.search(texts(spark, sf_dir), ["the", "with"]), 10))
+    return rounded(search.top(search.search(texts(spark, sf_dir), "the with"), 10))
+
+
+#: Indexes that this process has written, by session and folder.
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark, sf_dir) -> str:
+    """The path of an index over all documents, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        path = scratch.folder(spark, "index")
+        search.add_to_index(texts(spark, sf_dir), path)
+        INDEXES[key] = path
+    return INDEXES[key]
+
+
+@query
+def search_indexed_single(spark, sf_dir):
+    return rounded(search.search_index(spark, index(spark, sf_dir), "WITH"))
+
+
+@query
+def search_indexed_all(spark, sf_dir):
+    return rounded(search.search_index(spark, index(spark, sf_dir), "with the, with"))
+
+
+@query
+def search_indexed_any(spark, sf_dir):
+    return rounded(search.search_index(spark, index(spark, sf_dir), "hather anat", "any"))
+
+
+@query
+def search_indexed_topk(spark, sf_dir):
+    return rounded(search.top(search.search_index(spark, index(spark, sf_dir), "the with"), 10))
+
+
+@query
+def search_indexed_changed(spark, sf_dir):
+    """An index from which every fifth document is removed, and in which every seventh is replaced by its text said twice."""
+    d, path = texts(spark, sf_dir), scratch.folder(spark, "index")
+    search.add_to_index(d, path)
+    search.remove_from_index(d.filter("doc_id % 5 = 0").select("doc_id"), path)
+    search.add_to_index(d.filter("doc_id % 7 = 0").select("doc_id", F.concat_ws(" ", "text", "text").alias("text")), path)
+    return rounded(search.search_index(spark, path, "with anat", "any"))
 
 
 @query
 def search_access_filtered(spark, sf_dir):
-    hits = search.search(texts(spark, sf_dir), ["with"])
+    hits = search.search_index(spark, index(spark, sf_dir), "with")
     ids = documents.accessible(tables.documents(spark, sf_dir), tables.shares(spark, sf_dir), tables.users(spark, sf_dir), REGULAR)
     return rounded(hits.join(ids, "doc_id", "left_semi"))
 
@@ -313,11 +478,36 @@ def index_size(spark, sf_dir):
 # billing
 
 
+def bill(spark, sf_dir, periods):
+    d, t = texts(spark, sf_dir), tables.traffic(tables.table(spark, sf_dir, "events"))
+    return billing.billing_details(tables.documents(spark, sf_dir), search.index_sizes(d), t, tables.users(spark, sf_dir), periods)
+
+
+AMOUNTS = ("doc_mbh", "search_mbh", "incoming_mb", "outgoing_mb", "doc_cost", "search_cost", "traffic_cost", "total_cost")
+
+
 @query
 def billing_details(spark, sf_dir):
-    d, t = texts(spark, sf_dir), tables.traffic(tables.table(spark, sf_dir, "events"))
-    bill = billing.billing_details(tables.documents(spark, sf_dir), search.index_sizes(d), t, tables.users(spark, sf_dir), *JANUARY)
-    return bill.select("org_id", *[F.round(c, 4).alias(c) for c in ("doc_mbh", "search_mbh", "incoming_mb", "outgoing_mb", "doc_cost", "search_cost", "traffic_cost", "total_cost")], "doc_tier", "search_tier", "traffic_tier")
+    """Every org for one month."""
+    out = bill(spark, sf_dir, billing.same_period(tables.orgs(spark, sf_dir), *JANUARY))
+    return out.select("org_id", *[F.round(c, 4).alias(c) for c in AMOUNTS], "doc_tier", "search_tier", "traffic_tier")
+
+
+@query
+def billing_details_own_period(spark, sf_dir):
+    """Every org for the month or year that its own frequency gives."""
+    out = bill(spark, sf_dir, billing.own_periods(tables.frequencies(spark, sf_dir), AT))
+    return out.select("org_id", "period_start", "period_end", *[F.round(c, 4).alias(c) for c in AMOUNTS], "doc_tier", "search_tier", "traffic_tier")
+
+
+@query
+def billing_details_caller(spark, sf_dir):
+    """The nested bill of the org whose admin user 0 is; user 8 is no admin and gets none."""
+    u, f = tables.users(spark, sf_dir), tables.frequencies(spark, sf_dir)
+    mine = billing.own_periods(f, AT, accounts.caller_org(u, ADMIN)).unionByName(billing.own_periods(f, AT, accounts.caller_org(u, REGULAR)))
+    b = billing.nested_bill(bill(spark, sf_dir, mine))
+    size = lambda k: (F.round(F.col(k)["size"], 4).alias(f"{k}_size"), F.round(F.col(k)["cost"], 4).alias(f"{k}_cost"), F.col(k)["tier"].alias(f"{k}_tier"))
+    return b.select("org_id", "period_start", "period_end", F.round("total_cost", 4).alias("total_cost"), *size("documents"), *size("search"), F.round("traffic.incoming", 4).alias("incoming"), F.round("traffic.outgoing", 4).alias("outgoing"))
 
 
 @query
@@ -340,6 +530,13 @@ def large_traffic(spark, sf_dir):
     return billing.large_traffic(tables.traffic(tables.table(spark, sf_dir, "events")), AT)
 
 
+@query
+def large_traffic_caller(spark, sf_dir):
+    """The large traffic of the org whose admin user 0 is, in the year that its own frequency gives."""
+    t, u, f = tables.traffic(tables.table(spark, sf_dir, "events")), tables.users(spark, sf_dir), tables.frequencies(spark, sf_dir)
+    return billing.large_traffic_of(t, u, f, accounts.caller_org(u, ADMIN), AT, 100.0)
+
+
 @query
 def traffic_daily(spark, sf_dir):
     daily = billing.traffic_daily(tables.traffic(tables.table(spark, sf_dir, "events")))

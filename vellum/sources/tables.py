@@ -133,6 +133,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Documents as they lie in a folder: one row per file, its body as binary."""
+    """Documents as they lie in a folder: one row per file, its body as binary. Spark's scan plans no task for a file without bytes, so that empty files give
+    no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_name"), F.col("content").alias("body"), F.col("length").alias("size_bytes"))
