@@ -4,8 +4,10 @@ Fixed kinds, each leftmost and non-overlapping: assign (a key word, : or =, and
 digits, 20 or more characters) and hex (24 or more of 0-9a-f). The method adds kind random: strings of LEAST or more of A-Za-z0-9+/_=- that hold a
 letter and give fewer than RATIO characters per token of a byte-level vocabulary, words and names giving more. Fixed spans are cut out of a run
 first. What is left is tested whole; if it is not random, what lies between its words is, at / and =, and then at - _ and + too, so that words before
-or after a key hide none. Known digests (after a name such as sha256 or md5, or integrity values) and identifiers (UUIDs, paths and other strings of
-words, dates, numbers with separators) are left out. Spans are code points, end exclusive. Shorter random strings are found in an assignment only.
+or after a key hide none. Left out are known digests: those that the caller names (known), and hexadecimal (in either case) or base64 values of a digest's
+length after a name such as sha256, md5, checksum or integrity; and identifiers: UUIDs, ULIDs and 32 hexadecimal digits after a name that ends in id or is
+guid, ulid, ref, request, trace or span, paths and other strings of words, dates, numbers with separators. Other identifiers that look random (KSUIDs,
+nano ids, object ids in capitals) are found as random strings. Spans are code points, end exclusive. Shorter random strings are found in an assignment only.
 
 Defined results: a null text is empty; an empty text has no spans; a text of any length is scanned whole; repeated rows get equal results;
 an empty table gives an empty table; other columns pass through.
@@ -14,7 +16,7 @@ an empty table gives an empty table; other columns pass through.
 import base64
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +36,16 @@ WORD = re.compile(rf"[A-Za-z]{{{PART},}}")
 #: Characters that parts of a run lie between, in the order in which they are tried.
 BETWEEN = (re.compile(r"[^/=]+"), re.compile(r"[^/=_+-]+"))
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-WORDY = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,4}|[A-Z][a-z]+)(?:[-_/](?:[A-Za-z]+|[0-9]{1,8}|[a-z]+[0-9]{1,4}))*")
+WORDY = re.compile(r"[-_/]*(?:[A-Za-z]{2,}|[0-9]{1,4}|[A-Z][a-z]+)(?:[-_/]+(?:[A-Za-z]+|[0-9]{1,8}|[a-z]+[0-9]{1,4}))*[-_/]*")
 NUMBER = re.compile(r"[0-9][0-9_/=+-]*")
-DIGEST_NAME = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|blake2[bs]?|checksum|digest|commit|integrity|etag)\W{0,4}\Z", re.IGNORECASE | re.ASCII)
-DIGEST = re.compile(r"(?:sha(?:1|256|384|512)-)[A-Za-z0-9+/]+=*|(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
+BASE64 = "[A-Za-z0-9+/]"
+#: Digests of 16, 20, 28, 32, 48 and 64 bytes, the longest first.
+DIGEST = "|".join([f"[0-9A-Fa-f]{{{2 * n}}}|{BASE64}{{{-(-n * 4 // 3)}}}{'=' * (-n % 3)}" for n in (64, 48, 32, 28, 20, 16)])
+BEYOND = r"(?![A-Za-z0-9+/_=-])"
+KNOWN = (
+    re.compile(rf"""(?<![A-Za-z])(?i:sha-?(?:1|224|256|384|512)|md5|blake2[bs]?|checksum|digest|commit|integrity|etag|fingerprint)(?i:sum)?["']?[^A-Za-z0-9\n]{{0,4}}({DIGEST}){BEYOND}"""),
+    re.compile(rf"""(?<![A-Za-z])(?i:[a-z_]{{0,24}}id|guid|ulid|ref|request|trace|span)["']?[^A-Za-z0-9\n]{{0,4}}([0-7][0-9A-HJKMNP-TV-Z]{{25}}|[0-7][0-9a-hjkmnp-tv-z]{{25}}|[0-9A-Fa-f]{{32}}){BEYOND}"""),
+)
 RATIO = 2.2
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,7 +84,7 @@ def chars_a_token(run: str, enc) -> float:
 
 
 def is_known(text: str, start: int, end: int, enc, ratio: float = RATIO) -> bool:
-    """Whether the string is a named digest or an identifier, whose words have to be ones by the ratio if they are long enough to tell."""
+    """Whether the string is an identifier, whose words have to be ones by the ratio if they are long enough to tell."""
     run = text[start:end]
     if UUID.fullmatch(run) or NUMBER.fullmatch(run):
         return True
@@ -84,7 +92,7 @@ def is_known(text: str, start: int, end: int, enc, ratio: float = RATIO) -> bool
         words = WORD.findall(run)
         n = sum(map(len, words))
         return n < LEAST or n >= ratio * sum(len(enc.encode_ordinary(w)) for w in words)
-    return bool(DIGEST.fullmatch(run) and (run.startswith("sha") or DIGEST_NAME.search(text[max(0, start - 24) : start])))
+    return False
 
 
 def is_random(text: str, start: int, end: int, enc, ratio: float) -> bool:
@@ -126,19 +134,26 @@ def random_parts(text: str, start: int, end: int, enc, ratio: float, level: int
     return out
 
 
-def random_spans(text: str, taken: list[Span], enc, ratio: float = RATIO) -> list[Span]:
-    """Spans of the kind random outside of taken, which is sorted by start."""
+def random_spans(text: str, taken: list[Span], enc, ratio: float = RATIO, known: frozenset[str] = frozenset()) -> list[Span]:
+    """Spans of the kind random outside of taken and of known digests and identifiers."""
+    found = list(RUN.finditer(text))
+    if not found:
+        return []
+    none = sorted([(a, b) for a, _, b in taken] + [m.span(1) for rule in KNOWN for m in rule.finditer(text)])
     out, i, reach = [], 0, 0
-    for m in RUN.finditer(text):
+
+    def add(a: int, b: int) -> None:
+        if b - a >= LEAST and text[a:b].lower() not in known:
+            out.extend(x for x in random_parts(text, a, b, enc, ratio) if text[x[0] : x[2]].lower() not in known)
+
+    for m in found:
         a, b = m.span()
         a = max(a, reach)
-        while i < len(taken) and taken[i][0] < b:
-            if taken[i][0] - a >= LEAST:
-                out += random_parts(text, a, taken[i][0], enc, ratio)
-            reach, i = max(reach, taken[i][2]), i + 1
+        while i < len(none) and none[i][0] < b:
+            add(a, none[i][0])
+            reach, i = max(reach, none[i][1]), i + 1
             a = max(a, reach)
-        if b - a >= LEAST:
-            out += random_parts(text, a, b, enc, ratio)
+        add(a, b)
     return out
 
 
@@ -146,7 +161,7 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scanner(vocabulary: str, ratio: float) -> Callable[[], Callable[[list], list[tuple]]]:
+def scanner(vocabulary: str, ratio: float, known: frozenset[str] = frozenset()) -> Callable[[], Callable[[list], list[tuple]]]:
     def make():
         enc = encoding(vocabulary)
 
@@ -155,7 +170,7 @@ def scanner(vocabulary: str, ratio: float) -> Callable[[], Callable[[list], list
             for text in texts:
                 text = text or ""
                 base = base_spans(text)
-                more = random_spans(text, base, enc, ratio)
+                more = random_spans(text, base, enc, ratio, known)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 out.append((*n, len(more), hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more)))
             return out
@@ -165,9 +180,9 @@ def scanner(vocabulary: str, ratio: float) -> Callable[[], Callable[[list], list
     return make
 
 
-def scanned(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, column: str = "text") -> DataFrame:
-    """docs with the counts of each kind, base_sha256 and spans."""
-    return batched(docs, scanner(vocabulary, ratio), column, FIELDS)
+def scanned(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, column: str = "text", known: Iterable[str] = ()) -> DataFrame:
+    """docs with the counts of each kind, base_sha256 and spans. known: digests that are no secrets, in any case; they travel to every worker."""
+    return batched(docs, scanner(vocabulary, ratio, frozenset(k.lower() for k in known)), column, FIELDS)
 
 
 def redacted_text(text: str, spans: list[Span]) -> str:
@@ -185,9 +200,11 @@ def redacted_text(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
+def redact(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, known: Iterable[str] = ()) -> DataFrame:
     """docs with the secrets of text replaced and n_chars, where there is such a column, counted anew; same columns."""
 
+    few = frozenset(k.lower() for k in known)
+
     def make():
         enc = encoding(vocabulary)
 
@@ -195,7 +212,7 @@ def redact(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO)
             out = []
             for text in texts:
                 base = base_spans(text or "")
-                spans = base + random_spans(text or "", base, enc, ratio)
+                spans = base + random_spans(text or "", base, enc, ratio, few)
                 out.append((redacted_text(text, spans) if spans else None,))
             return out
 
