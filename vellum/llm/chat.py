@@ -11,14 +11,19 @@ one away; a line feed in a role becomes <|nl|>. So parsed() gives back every tur
 
 Defined results: a null text or role is empty; turns go by turn, null last, then role and text; repeated rows are repeated turns; rows with a
 null conv_id are one conversation; an empty table gives an empty table; other columns are dropped.
-A conversation is one output value, so its turns meet in one task by definition.
+A conversation is one output value, so its turns meet in one task by definition; work grows in proportion to its turns and text, but for the sums of
+lengths of every TURNS turns, whose number is squared.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm.common import code_points, let, part
+
 START, END, NEXT, LINE = "<|im_start|>", "<|im_end|>\n", "<|turn|>", "<|nl|>"
 LOSS_ROLE = "assistant"
+#: Turns whose lengths are summed up at once.
+TURNS = 256
 
 
 def escaped(c: Column) -> Column:
@@ -37,6 +42,24 @@ def role_in(c: Column) -> Column:
     return unescaped(F.replace(c, F.lit(LINE), F.lit("\n")))
 
 
+def running(numbers: Column, start: Column) -> Column:
+    """For each number the sum of start and all numbers before it. Every step copies the sums so far."""
+    none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("sums"))
+    return F.aggregate(numbers, none, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["sums"], acc["at"]).alias("sums")), lambda acc: acc["sums"])
+
+
+def starts(lengths: Column) -> Column:
+    """Where each of consecutive strings starts. TURNS lengths are summed at once, so that what running() copies stays short."""
+
+    def of(every: Column) -> Column:
+        n, zero = F.size(every), F.lit(0).cast("long")
+        some = F.transform(F.sequence(F.lit(0), n - 1, F.lit(TURNS)), lambda i: F.slice(every, i + 1, F.lit(TURNS)))
+        sums = lambda x: running(F.transform(x, lambda y: F.aggregate(y, zero, lambda a, b: a + b)), zero)
+        return let(some, lambda x: F.flatten(F.zip_with(x, sums(x), running)))
+
+    return let(lengths, lambda every: F.when(F.size(every) > 0, of(every)).otherwise(F.array().cast("array<bigint>")))
+
+
 def formatted(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     """conv_id, formatted, loss_spans."""
     row = F.struct(
@@ -58,19 +81,16 @@ def formatted(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame
         )
 
     pieces = turns.select("conv_id", F.transform("t", piece).alias("p"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    placed = pieces.withColumn("at", starts(F.transform("p", lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"]).cast("long"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["head"])
-        end = start + F.length(x["body"])
-        spans = F.when(x["loss"], F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(acc["spans"])
-        return F.struct((end + F.length(x["tail"])).alias("at"), spans.alias("spans"))
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["head"])
+        return F.when(x["loss"], F.struct(start.alias("start"), (start + F.length(x["body"])).alias("end")))
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    return pieces.select(
+    return placed.select(
         "conv_id",
         F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"),
-        F.aggregate("p", zero, step, lambda acc: acc["spans"]).alias("loss_spans"),
+        F.array_compact(F.zip_with("p", "at", span)).alias("loss_spans"),
     )
 
 
@@ -89,7 +109,8 @@ def parsed(c: Column) -> Column:
 
 def loss_text(c: Column, spans: Column) -> Column:
     """The text under the loss mask, as the assistant said it."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(c, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    said = lambda points: F.array_join(F.transform(spans, lambda s: unescaped(F.decode(part(points, s["start"].cast("int"), (s["end"] - s["start"]).cast("int")), "UTF-32"))), "")
+    return let(code_points(c), said)
 
 
 def report(conversations: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """What several operators need: free column names, word counts and scratch tables."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,21 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once: what a lambda variable stands for is not inlined again and again."""
+    return F.transform(F.array(value), body)[0]
+
+
+def code_points(text: Column) -> Column:
+    """Four bytes a code point, so that any of them is reached in constant time."""
+    return F.encode(text, "UTF-32")
+
+
+def part(points: Column, start: Column, n: Column | int) -> Column:
+    """n code points of code_points() from start, which counts from 0."""
+    return F.substring(points, start * 4 + 1, n * 4 if isinstance(n, Column) else F.lit(n * 4))
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than blank and \\t to \\r; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
