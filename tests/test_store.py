@@ -101,6 +101,18 @@ def test_login_and_callers(spark, users):
     assert accounts.caller_org(users, 2).count() == accounts.caller_org(users, 99).count() == 0
 
 
+def test_sessions_open_and_close(spark, users):
+    at = lambda d: datetime.datetime(2024, 1, d)
+    none = spark.createDataFrame([], "user_id long, org_id int, opened_at timestamp_ntz, closed_at timestamp_ntz")
+    logins = spark.createDataFrame([(1, 1, at(1)), (1, 2, at(1)), (2, 1, at(5)), (2, 1, at(5)), (9, 1, at(1)), (3, 2, None), (None, None, at(1))], "user_id long, org_id int, at timestamp_ntz")
+    outs = spark.createDataFrame([(1, at(4)), (1, at(3)), (2, at(4)), (None, at(9))], "user_id long, at timestamp_ntz")
+    s = accounts.close_sessions(accounts.open_sessions(none, users, logins), outs)
+    assert rows(s) == [(1, 1, at(1), at(3)), (2, 1, at(5), None), (2, 1, at(5), None)]
+    may = lambda who, d: accounts.session_of(s, who, F.lit(at(d)).cast("timestamp_ntz")).count()
+    assert [may(1, 1), may(1, 2), may(1, 3), may(2, 4), may(2, 9), may(9, 2)] == [1, 1, 0, 0, 1, 0]
+    assert rows(accounts.close_sessions(s, outs.limit(0))) == rows(s)
+
+
 def test_account_info_of_a_caller(spark, users):
     at = datetime.datetime(2024, 1, 5)
     orgs = spark.createDataFrame([(1, "One"), (2, "Two")], "org_id int, org_name string")

@@ -3,7 +3,7 @@
 Nulls: a null id matches nothing, so a row without one is neither changed nor removed, and is no caller.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAYMENTS = "array<struct<billed_at:timestamp_ntz,period_start:timestamp_ntz,period_end:timestamp_ntz,amount:double,status:string>>"
@@ -78,6 +78,28 @@ def login_lookup(users: DataFrame, user_id: int, org_id: int) -> DataFrame:
     return users.filter((F.col("user_id") == user_id) & (F.col("org_id") == org_id)).select("user_id", "org_id", "is_admin")
 
 
+def open_sessions(sessions: DataFrame, users: DataFrame, logins: DataFrame) -> DataFrame:
+    """sessions (user_id, org_id, opened_at, closed_at) with those of logins (user_id, org_id, at) whose user is of that org; others open none."""
+    real = logins.join(users.select("user_id", "org_id"), ["user_id", "org_id"], "left_semi").filter("at is not null")
+    return sessions.unionByName(real.select("user_id", "org_id", F.col("at").alias("opened_at"), F.lit(None).cast(sessions.schema["closed_at"].dataType).alias("closed_at")))
+
+
+def close_sessions(sessions: DataFrame, logouts: DataFrame) -> DataFrame:
+    """sessions with those closed that a logout (user_id, at) retires: all of the user's that are open then, by the first logout that follows."""
+    after = logouts.select(F.col("user_id").alias("who"), "at")
+    meet = (F.col("user_id") == F.col("who")) & (F.col("at") >= F.col("opened_at")) & F.col("closed_at").isNull()
+    ends = sessions.distinct().join(after, meet).groupBy("user_id", "org_id", "opened_at").agg(F.min("at").alias("ended"))
+    same = [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in ("user_id", "org_id", "opened_at")]
+    ends = ends.toDF("e_user_id", "e_org_id", "e_opened_at", "ended")
+    return sessions.join(ends, same[0] & same[1] & same[2], "left").select("user_id", "org_id", "opened_at", F.coalesce("closed_at", "ended").alias("closed_at"))
+
+
+def session_of(sessions: DataFrame, user_id: int, at: Column) -> DataFrame:
+    """(user_id, org_id) of a caller with a session that is open at an instant, one row; none once it is retired."""
+    mine = (F.col("user_id") == user_id) & (F.col("opened_at") <= at) & (F.col("closed_at").isNull() | (F.col("closed_at") > at))
+    return sessions.filter(mine).select("user_id", "org_id").limit(1)
+
+
 def caller_org(users: DataFrame, user_id: int) -> DataFrame:
     """(org_id) of a caller who is an admin, one row; none for anybody else."""
     return users.filter((F.col("user_id") == user_id) & F.col("is_admin")).select("org_id").limit(1)

@@ -59,6 +59,31 @@ def login_lookup(spark, sf_dir):
     return accounts.login_lookup(u, REGULAR, 5).unionByName(accounts.login_lookup(u, REGULAR, 2))
 
 
+def sessions(spark, sf_dir):
+    """Each user logs in twice, at hours that follow from their id, once with another's org in vain; every third logs out between, every fifth after."""
+    u = tables.users(spark, sf_dir)
+    at = lambda hours: F.expr(f"{tables.NANO_EPOCH} + make_interval(0, 0, 0, 0, cast({hours} as int), 0, 0)")
+    none = spark.createDataFrame([], "user_id long, org_id int, opened_at timestamp_ntz, closed_at timestamp_ntz")
+    logins = [u.select("user_id", (F.col("org_id") + wrong).cast("int").alias("org_id"), at(f"user_id % 24 + {late}").alias("at")) for wrong, late in ((0, 0), (1, 1), (0, 48))]
+    logouts = [u.filter(f"user_id % {n} = 0").select("user_id", at(f"user_id % 24 + {late}").alias("at")) for n, late in ((3, 24), (5, 72))]
+    return accounts.close_sessions(accounts.open_sessions(none, u, logins[0].unionByName(logins[1]).unionByName(logins[2])), logouts[0].unionByName(logouts[1]))
+
+
+@query
+def login_sessions(spark, sf_dir):
+    return sessions(spark, sf_dir)
+
+
+@query
+def logout(spark, sf_dir):
+    """The users that callers 8 and 9 may list on the third day: 9 has logged out on the second and not come back by noon."""
+    s, u = sessions(spark, sf_dir), tables.users(spark, sf_dir)
+    when = F.expr("timestamp_ntz'2024-01-02 12:00:00'")
+    own = [accounts.session_of(s, who, when).withColumnRenamed("user_id", "caller_id") for who in (8, 9, 10)]
+    orgs = own[0].unionByName(own[1]).unionByName(own[2])
+    return u.join(F.broadcast(orgs), "org_id").select("caller_id", "user_id", "user_name", "is_admin")
+
+
 def registered(spark, sf_dir):
     """One org with a new name, one whose name is taken, one whose admin exists."""
     old = listed(tables.orgs(spark, sf_dir)).select("org_id", "org_name", "multi_level_share", "status")

@@ -78,6 +78,9 @@ OWN = """SELECT org_id, CASE WHEN frequency = 'YEARLY' THEN TIMESTAMP '2024-01-0
 DAILY = "SELECT CAST(date_trunc('day', time) AS date) AS day, count(*) AS n, round(sum(incoming), 4) AS incoming_mb, round(sum(outgoing), 4) AS outgoing_mb FROM v_traffic GROUP BY 1"
 LISTED = "SELECT doc_id, doc_name, size_bytes FROM v_document WHERE doc_id IN (SELECT doc_id FROM {})"
 
+SESSIONS = """SELECT user_id, org_id, TIMESTAMP '2024-01-01' + to_hours(user_id % 24 + late) AS opened_at,
+    CASE WHEN late = 0 AND user_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(user_id % 24 + 24)
+      WHEN user_id % 5 = 0 THEN TIMESTAMP '2024-01-01' + to_hours(user_id % 24 + 72) END AS closed_at FROM v_user, (VALUES (0), (48)) t(late)"""
 BODIES = "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents"
 SEARCHES = {
     "single": "SELECT doc_id, round(s, 6) AS score FROM bm WHERE term = 'with'",
@@ -95,6 +98,9 @@ SELECTS = {
     "list_users": "SELECT user_id, user_name, is_admin FROM v_user WHERE org_id = 2",
     "user_info": "SELECT * FROM v_user WHERE user_id = 8",
     "login_lookup": "SELECT user_id, org_id, is_admin FROM v_user WHERE user_id = 8 AND org_id IN (2, 5)",
+    "login_sessions": f"SELECT user_id, org_id, opened_at, closed_at FROM ({SESSIONS})",
+    "logout": f"""SELECT s.user_id AS caller_id, u.user_id, u.user_name, u.is_admin FROM ({SESSIONS}) s JOIN v_user u USING (org_id)
+      WHERE s.user_id IN (8, 9, 10) AND opened_at <= TIMESTAMP '2024-01-02 12:00:00' AND (closed_at IS NULL OR closed_at > TIMESTAMP '2024-01-02 12:00:00')""",
     "register_org": "SELECT org_id, org_name, multi_level_share, status FROM v_org UNION ALL SELECT 100, 'ORG ONE', false, 'Created'",
     "register_org_admin": "SELECT * FROM v_user UNION ALL SELECT 1000000, 'admin of ' || n_name, 100, true FROM nation WHERE n_nationkey = 0",
     "reactivate_org": """SELECT org_id, CASE WHEN org_id = 5 THEN 'Subscribed' ELSE status END AS status,
