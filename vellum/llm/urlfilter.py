@@ -9,8 +9,8 @@ Hosts are compared in lower case without a dot at their end, paths as they are,
 that holds for keys and URLs alike. An IP address, IPv6 in its brackets, has no parent domains. Queries and fragments, escapes and ports are not compared.
 
 Only as many parent domains and path parts are made as the longest key of the list has. Distinct (url, fetched_at) are joined, so a URL that is
-captured often costs once; both joins leave the choice of a broadcast to Spark, which measures the sides, and adaptive execution splits
-hot keys.
+captured often costs once. Captures themselves are shuffled only where a sieve says that an entry may have been found for them.
+The joins leave the choice of a broadcast to Spark, which measures the sides, and adaptive execution splits hot keys.
 
 Defined results: a null URL, one without a host, a null time, and a URL that no active entry matches are not blocked; of entries of one key
 with one date the verdict last in order of code points holds; entries with null parts are ignored; repeated rows get the same answer each;
@@ -23,7 +23,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, named
+from vellum.llm.common import fresh, named, sieve, sifted, stored
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@]*)"
 ADDRESS = r"^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
@@ -76,15 +76,19 @@ def judged(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at
     active = intervals(entries)
     most = active.agg(F.max(F.size(F.split(F.split("key", "/")[0], r"\."))).alias("labels"), F.max(F.size(F.split("key", "/")) - 1).alias("parts")).first()
     names = fresh(captures, "blocked", "entry", "entry_verdict", "entry_from")
-    u, t, e = fresh(captures, "judged_url", "judged_at", "judged")
+    u, t, e, k = fresh(captures, "judged_url", "judged_at", "judged", "judged_key")
     once = captures.select(named(url).alias("u"), named(fetched_at).alias("t")).filter("u is not null and t is not null").distinct()
     asked = once.select("u", "t", F.explode(keys(F.col("u"), most["labels"] or 0, most["parts"] or 0)).alias("key"))
     hit = asked.join(active, "key").filter("valid_from <= t and (valid_to is null or t < valid_to)")
     best = hit.groupBy("u", "t").agg(F.max_by(F.struct("key", "verdict", "valid_from"), F.struct(F.length("key"), "key")).alias(e))
-    out = captures.join(best.withColumnsRenamed({"u": u, "t": t}), (named(url) == named(u)) & (named(fetched_at) == named(t)), "left")
+    best = stored(best.toDF(u, t, e), "judged")
+    key, marks = F.xxhash64(named(url), named(fetched_at)), sieve(best.select(F.xxhash64(named(u), named(t)).alias(k)))
+    found = sifted(captures, key, marks, True).join(best, (named(url) == named(u)) & (named(fetched_at) == named(t)), "left")
+    none = sifted(captures, key, marks, False).withColumn(e, F.lit(None).cast(best.schema[e].dataType))
+    out = found.select(*[named(c) for c in none.columns]).unionByName(none)
     entry = named(e)
     values = (F.coalesce(entry["verdict"] == "block", F.lit(False)), entry["key"], entry["verdict"], entry["valid_from"])
-    return out.select(*[named(c) for c in captures.columns], *[v.alias(k) for k, v in zip(names, values, strict=True)])
+    return out.select(*[named(c) for c in captures.columns], *[v.alias(n) for n, v in zip(names, values, strict=True)])
 
 
 #: Syllables of the invented hosts of the driver's pages, from which the query's list is made by rule.
