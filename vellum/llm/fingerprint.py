@@ -12,30 +12,18 @@ one, the whole text: each text shorter than K, and some of up to 2 K - S - 2 cod
 doc_id (null first), then by a hash of the text.
 """
 
-from collections.abc import Callable
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.common import code_points, let, part
+
 S, SPAN = 8, 16
 K = S + SPAN - 1
 PIECE = 4096
-#: Rows that a window partition has on average, and the most boundaries that the driver holds.
-ROWS, BINS = 2048, 1024
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once: what a lambda variable stands for is not inlined again and again."""
-    return F.transform(F.array(value), body)[0]
-
-
-def code_points(text: Column) -> Column:
-    """Four bytes a code point, so that any of them is reached in constant time."""
-    return F.encode(text, "UTF-32")
-
-
-def part(points: Column, start: Column, n: Column | int) -> Column:
-    return F.substring(points, start * 4 + 1, n * 4 if isinstance(n, Column) else F.lit(n * 4))
+#: Rows that a bucket has on average, the most buckets that there are (beyond, they grow), and the quantiles of doc_id that the driver holds.
+ROWS, BUCKETS, QUANTILES = 1024, 1 << 16, 1024
 
 
 def _anchors_of_piece(piece: Column, offset: Column) -> Column:
@@ -123,46 +111,72 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every > 0, F.size(F.array_intersect(a, b)) / every).otherwise(F.lit(1.0))
 
 
-def buckets(docs: DataFrame, rows: int = ROWS) -> Column:
-    """A number for each doc_id that grows with it and is shared by about rows rows, so that neighbours meet in one task.
+class Buckets:
+    """Ranges of (doc_id, tie) that hold about rows rows each, in order: null ids first, which are cut by tie, then each stretch between two edges.
 
-    Up to BINS boundaries are approximate quantiles of doc_id; each bin is cut evenly between its boundaries.
+    Edges are approximate quantiles of doc_id, and a stretch is cut evenly. An id that several quantiles fall on is repeated so often that its own rows
+    are cut by tie.
     """
-    n = docs.count()
-    bins = max(1, min(BINS, n // rows))
-    q = docs.agg(F.percentile_approx(F.col("doc_id"), [i / bins for i in range(bins + 1)], 10_000)).first()[0] or [0, 0]
-    edges = sorted(set(q))
-    m = max(1, -(-n // (rows * bins)))
-    if len(edges) == 1:
-        return F.coalesce(F.when(F.col("doc_id") >= edges[0], 1).otherwise(0), F.lit(-1)).cast("long")
-    a = F.array(*[F.lit(x).cast("long") for x in edges])
-    bin_ = F.least(F.size(F.filter(a, lambda x: x <= F.col("doc_id"))), F.lit(len(edges) - 1))
-    low, up = F.get(a, bin_ - 1), F.get(a, bin_)
-    cut = F.when(bin_ < 1, 0).otherwise(F.least(F.lit(m - 1), F.floor((F.col("doc_id").cast("double") - low) / (up.cast("double") - low) * m).cast("int")))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(bin_ * m + cut).cast("long")
+
+    def __init__(self, docs: DataFrame, rows: int = ROWS):
+        every = [i / QUANTILES for i in range(QUANTILES + 1)]
+        n, nulls, q = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", every, 10 * QUANTILES)).first()
+        per = max(1, rows, -(-n // BUCKETS))
+        parts = lambda share: max(1, round(share / per))
+        self.nulls, real = (parts(nulls) if nulls else 0), n - nulls
+        bins = max(1, min(QUANTILES, real // per))
+        often = {x: bisect_right(q, x) - bisect_left(q, x) - 1 for x in set(q or [])}
+        self.edges = sorted({q[round(i * QUANTILES / bins)] for i in range(bins + 1)} | {x for x, k in often.items() if k > 1}) if q else []
+        self.own = [parts(often[x] * real / QUANTILES) if often[x] > 1 else 0 for x in self.edges]
+        self.cuts = [max(1, parts((bisect_left(q, y) - bisect_right(q, x) + 1) * real / QUANTILES)) for x, y in zip(self.edges, self.edges[1:])] + [1] if q else []
+        self.base = [self.nulls]
+        for a, b in zip(self.own, self.cuts, strict=True):
+            self.base.append(self.base[-1] + a + b)
+        self.number = max(1, self.base[-1])
+
+    def of(self, doc_id: Column, tie: Column) -> Column:
+        """The number of the bucket, an int from 0; rows with one doc_id and tie share it."""
+
+        def by_tie(n: Column) -> Column:
+            return F.least(n - 1, F.floor((tie.cast("double") / F.lit(2.0**64) + 0.5) * n)).cast("int")
+
+        if not self.edges:
+            return by_tie(F.lit(self.number))
+        kinds = {"edges": "bigint", "own": "int", "cuts": "int", "base": "int"}
+        a = {k: F.array(*[F.lit(x) for x in getattr(self, k)]).cast(f"array<{t}>") for k, t in kinds.items()}
+
+        def at(i: Column) -> Column:
+            low, up, own, cuts = F.get(a["edges"], i), F.coalesce(F.get(a["edges"], i + 1), F.get(a["edges"], i)), F.get(a["own"], i), F.get(a["cuts"], i)
+            share = (doc_id.cast("double") - low) / F.greatest(up.cast("double") - low, F.lit(1.0))
+            inside = own + F.least(cuts - 1, F.greatest(F.lit(0), F.floor(share * cuts).cast("int")))
+            return F.get(a["base"], i) + F.when((own > 0) & (doc_id == low), by_tie(own)).otherwise(inside)
+
+        i = F.greatest(F.size(F.filter(a["edges"], lambda x: x <= doc_id)) - 1, F.lit(0))
+        return F.when(doc_id.isNull(), by_tie(F.lit(max(1, self.nulls)))).otherwise(let(i, at)).cast("int")
 
 
 def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, text, f (struct pos, tok), next_text, next_tok of each row; the row after the last is the first.
 
-    One shuffle of the texts, by bucket; the hashes are computed behind it, and the row after a bucket's last is the first of the next
-    bucket, of which there is one row per bucket.
+    One shuffle of the texts, to a task for each bucket; the hashes are computed behind it. The row after a bucket's last is the first of the next
+    bucket that has rows: its key is known from a scan that shuffles a row per bucket and task, and a copy of it is dealt to the bucket before.
+    The table of these keys has at most BUCKETS rows and so is broadcast.
     """
-    order = ("doc_id", "tie")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumns({"bucket": buckets(docs, rows), "tie": F.xxhash64("text")})
-    dealt = base.repartition("bucket").sortWithinPartitions("bucket", *[F.asc_nulls_first(c) for c in order])
+    b = Buckets(docs, rows)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    base = base.withColumn("bucket", b.of(F.col("doc_id"), F.col("tie")))
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    firsts = base.groupBy("bucket").agg(F.min(key).alias("first"))
+    in_order = Window.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(in_order), F.max("bucket").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = firsts.select("bucket", "first", before.alias("before"))
+    copied = base.join(F.broadcast(heads), "bucket").filter(key == F.col("first")).groupBy(F.col("before").alias("bucket")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))
+    both = base.select("bucket", "doc_id", "text", "tie", F.lit(False).alias("copy")).unionByName(copied.withColumn("copy", F.lit(True)))
+    order = [F.col("copy").asc(), F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    dealt = both.repartitionById(b.number, F.col("bucket")).sortWithinPartitions("bucket", *order)
     f = dealt.withColumn("f", fingerprint(F.col("text")))
-    by = Window.partitionBy("bucket").orderBy(*[F.asc_nulls_first(c) for c in order])
-    out = f.withColumn("next", F.lead(F.struct("text", F.col("f.tok").alias("tok"))).over(by))
-    firsts = base.groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("d"), "tie", "doc_id")).alias("k"))
-    follows = firsts.select("bucket", F.coalesce(F.lead("k").over(Window.orderBy("bucket")), F.first("k").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).alias("k"))
-    heads = base.join(firsts.select(F.col("k.doc_id").alias("i"), F.col("k.tie").alias("t")), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left_semi")
-    heads = heads.dropDuplicates(["doc_id", "tie"]).select("doc_id", "tie", F.struct("text", fingerprint(F.col("text"))["tok"].alias("tok")).alias("head"))
-    after = follows.join(heads, F.col("k.doc_id").eqNullSafe(heads["doc_id"]) & (F.col("k.tie") == heads["tie"])).select(F.col("bucket").alias("of"), "head")
-    joined = out.join(after, F.col("bucket") == F.col("of"), "left")
-    n = F.coalesce("next", "head")
-    return joined.select("doc_id", "text", "f", n["text"].alias("next_text"), n["tok"].alias("next_tok"))
+    out = f.withColumn("next", F.lead(F.struct("text", F.col("f.tok").alias("tok"))).over(Window.partitionBy("bucket").orderBy(*order)))
+    return out.filter(~F.col("copy")).select("doc_id", "text", "f", F.col("next.text").alias("next_text"), F.col("next.tok").alias("next_tok"))
 
 
 def report(docs: DataFrame, rows: int = ROWS) -> DataFrame:
