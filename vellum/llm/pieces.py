@@ -2,11 +2,13 @@
 
 The model's protobuf is parsed by hand; its normaliser, metaspace marker, scores (unigram) or merges (byte-pair models) and byte fallback are
 rebuilt as a tokenizers pipeline. Texts are encoded in batches, the library's threads being used (THREADS a worker).
-Where no piece holds the marker after another character, texts may be cut before each run of markers without changing the result, so a text's
-words are looked up and only new ones are encoded. A text that holds the marker's own character is not cut, as a blank after it is no boundary.
+Where a byte-pair model has no piece with the marker after another character, texts may be cut before each run of markers without changing the result, so
+a text's words are looked up and only new ones are encoded. (Unigram scores are summed over a text, and how near ties fall depends on the sums.) A text that holds the marker's own character is not cut, as a blank after it is no boundary.
+A worker process builds a model's codec once and keeps it, and the chunks that it knows, for all tasks that it runs.
 
-Parity: every distinct chunk is encoded by the sentencepiece library too when it is first met; where they differ, its ids are taken and the text's
-parity is false. A whole text's ids are the concatenation of its chunks'. Texts that are not cut are encoded by both libraries as a whole.
+The ids are those of the tokenizers library, and so is what they decode to. Parity is a check on them: each distinct chunk is encoded by the
+sentencepiece library too when it is first met, and a text's parity is false if a chunk of it differs. A text's ids are its chunks' ids joined. Texts that
+are not cut are encoded by both libraries as a whole. Decoding is checked likewise: each chunk is decoded when it is first met.
 
 Defined results: a null or empty text has no ids; a text of any length is encoded whole; repeated rows get equal results; an empty table gives an
 empty table; other columns pass through.
@@ -16,8 +18,11 @@ import gc
 import hashlib
 import os
 import struct
+import sys
+import types
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -29,8 +34,8 @@ from vellum.llm.arrow import batched, only
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Chunks of each of two generations that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes at once.
-CACHE, TEXTS, CHUNKS = 200_000, 256, 4096
+#: Chunks of each of two generations that a worker keeps the ids of, texts that it works on at once, and chunks that it encodes and decodes at once.
+CACHE, TEXTS, CHUNKS, JOINED = 300_000, 256, 4096, 64
 #: Threads of the library in each worker: as many as a task may use, not as many as the machine has.
 THREADS = 2
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("parity", T.BooleanType()), T.StructField("round_trip", T.BooleanType())])
@@ -110,11 +115,14 @@ def build(m: Parsed, bare: bool = False):
         tok = Tokenizer(models.BPE(plain, merges(plain, m.pieces), unk_token=m.pieces[m.unknown][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=0 if bare else 10_000))
     steps: list = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.squeeze:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A +"), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(MARK if m.escape else " "))
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
+    if m.squeeze:
+        # markers of the text's own go from its end too
+        steps.append(normalizers.Replace(Regex(f"{MARK if m.escape else ' '}+\\z"), ""))
     if not bare:
         tok.normalizer = normalizers.Sequence(steps)
     tok.add_tokens([AddedToken(p[0], normalized=False, special=False) for p in m.pieces if p[2] == USER])
@@ -127,7 +135,7 @@ def can_cut(m: Parsed) -> bool:
     """Whether no piece holds a marker after another character, and normalisation works on characters one by one: then texts without a marker
     of their own may be cut before blanks."""
     inner = any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind in (NORMAL, USER))
-    return m.escape and m.dummy_prefix and any(p[0] == MARK for p in m.pieces) and not m.charsmap and not m.squeeze and not inner and not any(k == USER for _, _, k in m.pieces)
+    return not m.unigram and m.escape and m.dummy_prefix and any(p[0] == MARK for p in m.pieces) and not m.charsmap and not m.squeeze and not inner and not any(k == USER for _, _, k in m.pieces)
 
 
 class Codec:
@@ -139,10 +147,8 @@ class Codec:
         import sentencepiece
 
         self.parsed = Parsed(data)
-        self.tok, self.sp = build(self.parsed), sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(r" *[^ ]+| +$").findall if can_cut(self.parsed) else None
-        #: What each id stands for inside a text; for ids that no text gives, a byte that no text holds.
-        self.said = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind in (NORMAL, USER) else b"\xff" for p, _, kind in self.parsed.pieces]
         self.bare = build(self.parsed, bare=True) if self.cut else None
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -150,11 +156,16 @@ class Codec:
         self.lost: set[str] = set()
         self.mark = next((i for i, p in enumerate(self.parsed.pieces) if p[0] == MARK), -1)
 
+    @cached_property
+    def tok(self):
+        """The pipeline with its normaliser, for texts that are not cut: most workers meet none."""
+        return build(self.parsed)
+
     def raw(self, texts: list[str]) -> list[tuple[list[int], bool]]:
         """(ids, parity) of whole texts."""
         mine = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.sp.encode(texts, num_threads=1)
-        return [(b, a == b) for a, b in zip(mine, theirs, strict=True)]
+        return [(a, a == b) for a, b in zip(mine, theirs, strict=True)]
 
     def chunk(self, new: list[str]) -> None:
         """Takes up the ids of chunks: each starts with one blank at least, which is the marker that a text gets in front."""
@@ -166,9 +177,22 @@ class Codec:
                 mine[i] = theirs[i] = [self.mark]
         if mine != theirs:
             self.unlike.update(c for c, a, b in zip(new, mine, theirs, strict=True) if a != b)
-        said = self.said.__getitem__
-        self.lost.update([c for c, ids in zip(new, theirs, strict=True) if b"".join(map(said, ids)) != c.encode()])
-        self.cache.update(zip(new, [array("i", ids).tobytes() for ids in theirs], strict=True))
+        self.lost.update(self.not_said(new, mine))
+        self.cache.update(zip(new, [array("i", ids).tobytes() for ids in mine], strict=True))
+
+    def not_said(self, chunks: list[str], ids: list[list[int]]) -> Iterator[str]:
+        """Those of chunks that their ids do not decode to. Decoding takes one blank from the front of a text; JOINED chunks are decoded as one text, as they
+        stand in texts, and each by itself where that text is another."""
+        for i in range(0, len(chunks), JOINED):
+            if self.bare.decode(list(chain.from_iterable(ids[i : i + JOINED])), skip_special_tokens=False) != "".join(chunks[i : i + JOINED])[1:]:
+                yield from (c for c, x in zip(chunks[i : i + JOINED], ids[i : i + JOINED], strict=True) if self.bare.decode(x, skip_special_tokens=False) != c[1:])
+
+    def turn(self) -> None:
+        """The older generation of chunks is forgotten, with what was known of them."""
+        gone = self.old.keys() - self.cache.keys()
+        self.unlike -= gone
+        self.lost -= gone
+        self.cache, self.old = {}, self.cache
 
     def uncut(self, texts: list[str]) -> list[tuple[np.ndarray, bool, bool]]:
         """What encode gives, for texts that are encoded and decoded whole."""
@@ -189,7 +213,7 @@ class Codec:
         # the marker that starts a text stands for a blank before it
         chunks = [self.cut(" " + t) if t else [] for t in texts]
         if len(self.cache) > CACHE:
-            self.cache, self.old = {}, self.cache
+            self.turn()
         missing = set(chain.from_iterable(chunks)).difference(self.cache)
         known = missing.intersection(self.old)
         self.cache.update({c: self.old[c] for c in known})
@@ -200,7 +224,19 @@ class Codec:
         return [(np.frombuffer(b"".join(map(get, cs)), np.int32), not self.unlike or self.unlike.isdisjoint(cs), not self.lost or self.lost.isdisjoint(cs)) for cs in chunks]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tok.decode_batch(ids, skip_special_tokens=False)
+        return (self.bare or self.tok).decode_batch(ids, skip_special_tokens=False)
+
+
+def codec_of(data: bytes) -> Codec:
+    """The codec of a model, which the process keeps: what a task brings along is built anew for every task, a module is not."""
+    kept = sys.modules.setdefault("vellum_llm_codecs", types.ModuleType("vellum_llm_codecs")).__dict__
+    key = hashlib.sha256(data).hexdigest()
+    if key not in kept:
+        kept[key] = Codec(data)
+        # the vocabulary stays, and a batch makes many short-lived lists: both cost much time in the garbage collector
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
+    return kept[key]
 
 
 def worker(model: str, digest: bool) -> Callable[[], Callable[[list], list[tuple]]]:
@@ -208,16 +244,15 @@ def worker(model: str, digest: bool) -> Callable[[], Callable[[list], list[tuple
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         with open(model, "rb") as f:
-            codec = Codec(f.read())
-        # the vocabulary stays, and a batch makes many short-lived lists: both cost much time in the garbage collector
-        gc.freeze()
-        gc.set_threshold(50_000, 20, 100)
+            codec = codec_of(f.read())
 
         def run(texts: list) -> list[tuple]:
-            coded = codec.encode([t or "" for t in texts])
+            # copies that a mix made lie next to each other
+            once = list(dict.fromkeys(t or "" for t in texts))
+            coded = dict(zip(once, codec.encode(once), strict=True))
             if digest:
-                return [(len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), ok, back) for ids, ok, back in coded]
-            return coded
+                coded = {t: (len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), ok, back) for t, (ids, ok, back) in coded.items()}
+            return [coded[t or ""] for t in texts]
 
         return run
 
@@ -229,6 +264,24 @@ def encoded(docs: DataFrame, model: str = MODEL, column: str = "text") -> DataFr
     return batched(docs, worker(model, False), column, FIELDS, TEXTS)
 
 
+def decoded(docs: DataFrame, model: str = MODEL, column: str = "ids") -> DataFrame:
+    """docs with decoded: the text that a column of ids stands for; null for null, and for ids that hold a null or that the model does not have."""
+
+    def make():
+        with open(model, "rb") as f:
+            codec = codec_of(f.read())
+        n = len(codec.parsed.pieces)
+
+        def run(rows: list) -> list[tuple]:
+            fine = [ids is not None and all(i is not None and 0 <= i < n for i in ids) for ids in rows]
+            back = iter(codec.decode([ids for ids, ok in zip(rows, fine, strict=True) if ok]))
+            return [(next(back) if ok else None,) for ok in fine]
+
+        return run
+
+    return batched(docs, make, column, T.StructType([T.StructField("decoded", T.StringType())]), TEXTS)
+
+
 def report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as little-endian int32), parity, round_trip."""
     return batched(only(docs, "doc_id", "text"), worker(model, True), "text", DIGEST, TEXTS).drop("text")
