@@ -199,6 +199,17 @@ def test_training_takes_documents_by_hash_whatever_their_length(spark, monkeypat
     assert sum(t.startswith(b"long") for t in cut) < sum(b"long" in t for t in cut) - 5
 
 
+def test_scores_stand_beside_columns_of_their_name(spark):
+    docs = spark.createDataFrame([(1, "good text", 7, "x"), (2, None, 8, "y"), (None, LONG, 9, "z"), (2, None, 8, "y")], "doc_id long, text string, Score int, `held.out` string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, quality int")
+    out = quality.scored(docs, quality.train(docs, labels))
+    assert out.columns == ["doc_id", "text", "Score", "held.out", "score_"]
+    rows = out.collect()
+    assert sorted(r["Score"] for r in rows) == [7, 8, 8, 9] and len({r["score_"] for r in rows if r.text is None}) == 1
+    kept = quality.keep(docs, labels, 0.0)
+    assert kept.columns == docs.columns and kept.count() == 4 and quality.keep(docs, labels, 1.1).count() == 0
+
+
 def test_quality_edges(spark):
     docs = table(spark, ODD).unionByName(spark.createDataFrame([(None, "a", "x", "y")], "doc_id long, text string, spans string, `n.1` string"))
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None), (99, 1)], "doc_id long, quality int")
