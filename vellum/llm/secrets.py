@@ -135,26 +135,27 @@ def random_parts(text: str, start: int, end: int, enc, ratio: float, level: int
 
 
 def random_spans(text: str, taken: list[Span], enc, ratio: float = RATIO, known: frozenset[str] = frozenset()) -> list[Span]:
-    """Spans of the kind random outside of taken and of known digests and identifiers."""
-    found = list(RUN.finditer(text))
-    if not found:
-        return []
-    none = sorted([(a, b) for a, _, b in taken] + [m.span(1) for rule in KNOWN for m in rule.finditer(text)])
-    out, i, reach = [], 0, 0
-
-    def add(a: int, b: int) -> None:
-        if b - a >= LEAST and text[a:b].lower() not in known:
-            out.extend(x for x in random_parts(text, a, b, enc, ratio) if text[x[0] : x[2]].lower() not in known)
+    """Spans of the kind random outside of taken; where there are any, known digests and identifiers are looked for and the rest is scanned again."""
+    found = [m.span() for m in RUN.finditer(text)]
 
-    for m in found:
-        a, b = m.span()
-        a = max(a, reach)
-        while i < len(none) and none[i][0] < b:
-            add(a, none[i][0])
-            reach, i = max(reach, none[i][1]), i + 1
+    def outside(none: list[tuple[int, int]]) -> list[Span]:
+        out, i, reach = [], 0, 0
+        for a, b in found:
             a = max(a, reach)
-        add(a, b)
-    return out
+            while i < len(none) and none[i][0] < b:
+                if none[i][0] - a >= LEAST:
+                    out += random_parts(text, a, none[i][0], enc, ratio)
+                reach, i = max(reach, none[i][1]), i + 1
+                a = max(a, reach)
+            if b - a >= LEAST:
+                out += random_parts(text, a, b, enc, ratio)
+        return out
+
+    base = [(a, b) for a, _, b in taken]
+    out = outside(base)
+    if out and (named_ones := [m.span(1) for rule in KNOWN for m in rule.finditer(text)]):
+        out = outside(sorted(base + named_ones))
+    return [x for x in out if text[x[0] : x[2]].lower() not in known] if known else out
 
 
 def listed(spans: list[Span]) -> str:
