@@ -3,11 +3,11 @@
 1. Every text becomes its set of hashed five-word shingles; the SKETCH smallest hashes are its sketch. Texts with one set are one class, whose
    smallest doc_id stands for it.
 2. Inverted lists of the KEYS smallest hashes of each class generate overlaps: two sets with similarity s lack a shared one with a chance of about
-   (1 - s)^KEYS, 3e-6 at 0.8. Lists of more than BLOCK classes are cut into blocks whose pairs are handled apart, so none is capped.
+   (1 - s)^KEYS, 3e-6 at 0.8. No list is capped: see links_within() for those of more than BLOCK classes.
 3. In a list the union sketch estimates similarity; pairs that may reach the threshold (five standard errors of slack) link candidates. Only
    a spanning forest is emitted, so a group of many copies gives as many rows as it has members.
 4. Within the components of these links the full sets are built again from the texts and intersected exactly; a pair whose ends are connected
-   by verified links already is left out, as it cannot change a component. Large components are cut into blocks by shingles. Texts outside these
+   by verified links already is left out, as it cannot change a component. Components of more than BLOCK_SHINGLES are cut likewise. Texts outside these
    components are left out by a sieve before anything is shuffled, and keep() shuffles only what a sieve of the dropped ids holds back.
 
 Words are [^\\x20\\x09-\\x0D]+ after A-Z are lower-cased. Defined results: fewer than five words are one shingle; a null text or one without words has no
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.arrow import only
+from vellum.llm.arrow import only, small_batches
 from vellum.llm.common import fresh, keep_out, named, scope, sieve, sifted, stored
 from vellum.llm.components import components
 from vellum.llm.groups import Union, runs
@@ -32,7 +32,10 @@ from vellum.llm.groups import Union, runs
 WORDS, SKETCH, KEYS = 5, 64, 8
 #: Least similarity as a fraction, so that sizes are compared in whole numbers.
 SIMILARITY = (4, 5)
+#: Members of a list, and shingles of a component, that are compared with each other at once.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: What rows are grouped by: a list's key, whether the tile is of a block, of two blocks of one side, or of blocks of two sides, and the blocks.
+TILE, OWN, WITHIN, ACROSS = ["key", "kind", "i", "j"], 0, 1, 2
 NONE = np.uint32(0xFFFFFFFF)
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -92,6 +95,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), h1, h2 (the set's digest), keys, sketch."""
+    small_batches(docs)
     ids = docs.select(named("doc_id").cast("long").alias("doc_id"), named("text").alias("text"))
     return ids.mapInArrow(_sketches, "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary")
 
@@ -110,22 +114,31 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _forest(ids: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int], compare, link) -> None:
-    """Links pairs of a block: compare(i, js) says which of js go with i. Pairs that are connected already are not compared.
-    Where two blocks meet, pairs within each are compared too, as a link spares others.
+def _forest(ids: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int], compare, link, seed: np.ndarray, side: np.ndarray | None) -> None:
+    """Links pairs of a block: compare(i, js) says which of js go with i. Pairs that are connected already, as those of one seed are, are not
+    compared, nor are those of one side, if sides are given.
     """
     n, known = len(ids), Union(len(ids))
+    _, first, of = np.unique(seed, return_index=True, return_inverse=True)
+    known.up = np.minimum(first[of], np.arange(n))
     least, most = sizes * similarity[0], sizes * similarity[1]
     for i in range(n - 1):
         js = np.arange(i + 1, n)
         roots = known.roots()
         js = js[(roots[js] != roots[i]) & (least[js] <= most[i]) & (least[i] <= most[js])]
+        if side is not None:
+            js = js[side[js] != side[i]]
         if len(js):
             for j in js[compare(i, js)].tolist():
                 if known.join(i, j):
                     link(int(ids[i]), int(ids[j]))
 
 
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
+    """The seeds of a tile's rows, and their sides where only pairs across matter."""
+    return group["seed"].to_numpy(), group["side"].to_numpy() if group["kind"][0].as_py() == ACROSS else None
+
+
 def _candidates(similarity: tuple[int, int]):
     wanted = similarity[0] / similarity[1]
     enough = wanted - 5 * (wanted * (1 - wanted) / SKETCH) ** 0.5
@@ -133,15 +146,15 @@ def _candidates(similarity: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
-        for group in runs(batches, ["key", "i", "j"]):
+        for group in runs(batches, TILE):
             if group.num_rows > 1:
-                ids = group["rep"].to_numpy()
+                ids = group["node"].to_numpy()
                 sizes = group["n"].to_numpy()
                 sk = np.full((len(ids), SKETCH), NONE, np.uint32)
                 for r, s in enumerate(group["sketch"].to_pylist()):
                     v = np.frombuffer(s, np.uint32)
                     sk[r, : len(v)] = v
-                _forest(ids, sizes, similarity, lambda i, js: estimates(sk[i], sk[js]) >= enough, lambda x, y: (a.append(x), b.append(y)))  # noqa: B023
+                _forest(ids, sizes, similarity, lambda i, js: estimates(sk[i], sk[js]) >= enough, lambda x, y: (a.append(x), b.append(y)), *_sides(group))  # noqa: B023
             if len(a) > 10_000:
                 yield _edges(a, b)
                 a.clear(), b.clear()
@@ -157,9 +170,9 @@ def _verified(similarity: tuple[int, int]):
         words = Words()
         a: list[int] = []
         b: list[int] = []
-        for group in runs(batches, ["root", "i", "j"]):
+        for group in runs(batches, TILE):
             if group.num_rows > 1:
-                ids = group["doc_id"].to_numpy()
+                ids = group["node"].to_numpy()
                 sets = [shingles(t, words) for t in group["text"].to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -173,7 +186,7 @@ def _verified(similarity: tuple[int, int]):
                     mark[place[starts[i] : starts[i + 1]]] = False  # noqa: B023
                     return under * hits >= over * (sizes[i] + sizes[js] - hits)  # noqa: B023
 
-                _forest(ids, sizes, similarity, same, lambda x, y: (a.append(x), b.append(y)))
+                _forest(ids, sizes, similarity, same, lambda x, y: (a.append(x), b.append(y)), *_sides(group))
             if len(a) > 10_000:
                 yield _edges(a, b)
                 a.clear(), b.clear()
@@ -182,18 +195,56 @@ def _verified(similarity: tuple[int, int]):
     return run
 
 
-def tiles(rows: DataFrame, key: str, node: str, blocks) -> DataFrame:
-    """rows once for each pair of blocks (i <= j) of its key that its own block is in; blocks: how many the key has, a column.
+def dealt(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """rows (key, node, seed, side, tile) with their payload, by tile. The tiles of a key are dealt to partitions in turn, from a start that its hash gives, so that
+    no two of them meet by chance."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    to = F.pmod(F.pmod(F.xxhash64("key"), F.lit(n)) + F.col("tile.number"), F.lit(n)).cast("int").alias("to")
+    flat = rows.join(payload, "node").select("key", "tile.kind", "tile.i", "tile.j", "node", "seed", "side", *[c for c in payload.columns if c != "node"], to)
+    return flat.repartitionById(n, F.col("to")).drop("to").sortWithinPartitions(*TILE, "node")
+
+
+def links_within(light: DataFrame, payload: DataFrame, block: int, compare) -> DataFrame:
+    """(a, b): enough links among the members of each key for the components that all pairs would give. light: (key, node, weight, seed), nodes of one seed being
+    connected already; payload: (node, ...), what compare, a function of Arrow batches, needs of a node.
 
-    The pairs of a key are numbered and dealt to partitions in turn, from a start that its hash gives, so that no two of them meet by chance.
+    First, a key's members are cut into blocks of about block weight, and each block is compared within; four members, chosen by their ids, are in every
+    block of their key. Where a key is one group of near copies, however large, these tie its blocks together, and the work is in proportion to its
+    members. Then, for keys of several blocks whose members are not all connected, what is left is compared: members outside the key's largest
+    component among each other and with that component's, in tiles of two blocks. So no key is capped, and no task holds more than two blocks; only
+    members that are not alike cost more than in proportion.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = F.pmod(F.xxhash64(node, F.lit(1)), blocks).cast("long")
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))
-    out = rows.withColumn("tile", F.explode(pair)).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile")
-    number = F.expr("j * (j + 1) div 2 + i")
-    to = F.pmod(F.pmod(F.xxhash64(key), F.lit(n)) + number, F.lit(n)).cast("int")
-    return out.repartitionById(n, to).sortWithinPartitions(key, "i", "j", node)
+    tile = lambda kind, i, j, number: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), number.cast("long").alias("number"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    zero, h = F.lit(0).cast("long"), F.xxhash64("node")
+    sized = light.groupBy("key").agg(F.min("seed").alias("low"), F.max("seed").alias("high"), F.sum("weight").alias("w")).filter("low < high")
+    lists = stored(sized.select("key", F.ceil(F.col("w") / block).cast("long").alias("blocks")), "lists")
+    # written by itself, so that Spark knows how small it is where it is joined to all members
+    large = stored(lists.filter("blocks > 1").select("key"), "large")
+    any_large = not large.isEmpty()
+    at = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    if any_large:
+        pivots = light.join(large, "key").groupBy("key").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", h), F.max_by("node", h)).alias("pivots"))
+        lists = lists.join(stored(pivots, "pivots"), "key", "left")
+        at = F.when(F.array_contains("pivots", F.col("node")), upto(F.col("blocks"))).otherwise(at)
+    first = light.join(lists, "key").select("key", "node", "seed", F.lit(0).alias("side"), F.explode(F.transform(at, lambda i: tile(OWN, i, zero, i))).alias("tile"))
+    edges = stored(dealt(first, payload).mapInArrow(compare, "a long, b long").hint("rebalance"), "links")
+    if not any_large:
+        return edges
+    roots = components(edges).select("node", F.col("root").alias("by_root"))
+    mine = light.join(large, "key").join(roots, "node", "left").select("key", "node", "weight", F.coalesce("by_root", "seed").alias("seed"))
+    shares = mine.groupBy("key", "seed").agg(F.sum("weight").alias("w"))
+    count = lambda w: F.ceil(w / block).cast("long")
+    sides = shares.groupBy("key").agg(F.max_by("seed", F.struct("w", "seed")).alias("most"), count(F.max("w")).alias("bm"), count(F.sum("w") - F.max("w")).alias("bo"), F.count("*").alias("k"))
+    rest = mine.join(sides.filter("k > 1"), "key").withColumn("side", (F.col("seed") != F.col("most")).cast("int"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("side") == 1, F.col("bo")).otherwise(F.col("bm"))))
+    own, bo, bm = F.col("own"), F.col("bo"), F.col("bm")
+    number = lambda i, j: (bo * (bo + 1) / 2).cast("long") + i * bm + j
+    among = F.transform(upto(bo), lambda o: tile(WITHIN, F.least(o, own), F.greatest(o, own), F.greatest(o, own) * (F.greatest(o, own) + 1) / 2 + F.least(o, own)))
+    other = F.concat(among, F.transform(upto(bm), lambda m: tile(ACROSS, own, m, number(own, m))))
+    largest = F.transform(upto(bo), lambda o: tile(ACROSS, o, own, number(o, own)))
+    second = rest.select("key", "node", "seed", "side", F.explode(F.when(F.col("side") == 1, other).otherwise(largest)).alias("tile"))
+    return edges.unionByName(stored(dealt(second, payload).mapInArrow(compare, "a long, b long").hint("rebalance"), "links"))
 
 
 def candidates(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -202,22 +253,17 @@ def candidates(classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     Unequal sets are linked at n / (n + 1) at best, so sets with fewer shingles than reach that are left out.
     """
     over, under = similarity
-    keyed = classes.filter(F.col("n") * (under - over) >= over).select("rep", F.explode("keys").alias("key"))
-    long = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    member = keyed.join(long, "key").join(classes.select("rep", "n", "sketch"), "rep")
-    dealt = tiles(member, "key", "rep", F.ceil(F.col("c") / BLOCK)).select("key", "i", "j", "rep", "n", "sketch")
-    return dealt.mapInArrow(_candidates(similarity), "a long, b long")
+    node = F.col("rep").alias("node")
+    keyed = classes.filter(F.col("n") * (under - over) >= over).select(node, F.explode("keys").alias("key")).select("key", "node", F.lit(1).alias("weight"), F.col("node").alias("seed"))
+    return links_within(keyed, classes.select(node, "n", "sketch"), BLOCK, _candidates(similarity))
 
 
 def verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): links between documents of one group (node, root) whose full sets reach the threshold."""
     every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sized = every.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    total = sized.groupBy("root").agg(F.sum("n").alias("total"))
-    where = stored(sized.join(total, "root").select(F.col("node").alias("id"), "root", F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks")), "where")
-    texts = docs.select(named("doc_id").cast("long").alias("doc_id"), named("text").alias("text"))
-    texts = sifted(texts, F.col("doc_id"), sieve(where.select("id")), True).join(where, F.col("doc_id") == F.col("id"))
-    return tiles(texts, "root", "doc_id", F.col("blocks")).select("root", "i", "j", "doc_id", "text").mapInArrow(_verified(similarity), "a long, b long")
+    sized = stored(every.join(classes.select(F.col("rep").alias("node"), F.col("n").alias("weight")), "node").select(F.col("root").alias("key"), "node", "weight", F.col("node").alias("seed")), "sized")
+    texts = docs.select(named("doc_id").cast("long").alias("node"), named("text").alias("text"))
+    return links_within(sized, sifted(texts, F.col("node"), sieve(sized.select("node")), True), BLOCK_SHINGLES, _verified(similarity))
 
 
 def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
