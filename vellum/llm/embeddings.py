@@ -297,11 +297,11 @@ def searched(classes: DataFrame, index: Index, kind: type, block: int) -> DataFr
     i = F.when(ask, F.sequence(F.lit(0), F.col("b0") - 1)).otherwise(F.array(F.pmod(lot, F.col("b0")).cast("int")))
     j = F.when(ask, F.array(F.pmod(lot, F.col("b1")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("b1") - 1))
     tiles = every.join(sizes, at).withColumn("i", F.explode(i)).withColumn("j", F.explode(j))
-    left = stored(dealt(tiles, "cast(i as long) * b1 + j", "kind", "vec_id").drop("b0", "b1").mapInArrow(survivors(index), SURVIVED), "survivors")
+    left = stored(dealt(tiles, "cast(i as long) * b1 + j", "kind", "vec_id").drop("b0", "b1").mapInArrow(survivors(index), SURVIVED).hint("rebalance"), "survivors")
     key = ["label", "dim", "vec_id", "h1"]
     few = sifted(classes.select(*key, "copies", "v"), F.col("h1"), sieve(left.select("h1")), True)
     whole = left.join(few, key).join(sizes, at)
-    return keep_out(dealt(whole, "cast(i as long) * b1 + j", "kind", "vec_id").drop("b0", "b1").mapInArrow(compared(kind), "kind int, label string, dim int, a long, h1 long, b long"), "found")
+    return keep_out(dealt(whole, "cast(i as long) * b1 + j", "kind", "vec_id").drop("b0", "b1").mapInArrow(compared(kind), "kind int, label string, dim int, a long, h1 long, b long").hint("rebalance"), "found")
 
 
 def linked(vectors: DataFrame, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
