@@ -52,12 +52,12 @@ def reshare_closure(shares: DataFrame, documents: DataFrame, orgs: DataFrame, de
     grants = stored(shares.select("doc_id", "grantor_id", "grantee_id").dropna().distinct(), "grants")
     owned = documents.filter("owner_id is not null and doc_id is not null").select("doc_id", F.col("owner_id").alias("user_id"))
     reached = stored(owned.distinct().withColumn("level", F.lit(0)), "reached")
-    deep = documents.join(orgs.filter("multi_level_share").select("org_id"), "org_id", "left_semi").select("doc_id")
+    multi = documents.join(orgs.filter("multi_level_share").select("org_id"), "org_id", "left_semi").select("doc_id")
+    deep = stored(grants.join(multi, "doc_id", "left_semi"), "grants")
     front, level = reached, 0
     while depth is None or level < depth:
         level += 1
-        base = front if level == 1 else front.join(deep, "doc_id", "left_semi")
-        step = base.select("doc_id", F.col("user_id").alias("grantor_id")).join(grants, ["doc_id", "grantor_id"])
+        step = front.select("doc_id", F.col("user_id").alias("grantor_id")).join(grants if level == 1 else deep, ["doc_id", "grantor_id"])
         step = step.select("doc_id", F.col("grantee_id").alias("user_id")).distinct()
         front = stored(step.join(reached, ["doc_id", "user_id"], "left_anti").withColumn("level", F.lit(level)), "reached")
         if front.isEmpty():
