@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.llm import components as graphs
 from vellum.llm import dedup, embeddings
 from vellum.llm.common import sieve, sifted
 
@@ -164,6 +165,49 @@ def test_a_large_group_of_near_copies_costs_in_proportion(spark, monkeypatch):
     assert sum(met) < 2 * (dedup.KEYS + 1) * len(rows)
 
 
+def test_members_of_lists_are_made_twice_at_most(spark):
+    """Once for the lists' sizes, once for their members, also where lists have several blocks: 300 sets of one key, ten of each alike, and of a key of their own."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rng = np.random.default_rng(2)
+    kinds = [np.sort(rng.integers(1 << 32, size=dedup.SKETCH, dtype=np.uint32)).tobytes() for _ in range(30)]
+    light = spark.createDataFrame([(key, i, 1, i) for i in range(300) for key in (-1, i // 2)], "key long, node long, weight int, seed long")
+    payload = spark.createDataFrame([(i, 100, kinds[i // 10]) for i in range(300)], "node long, n long, sketch binary")
+    links = dedup.links_within(light.mapInArrow(counted, light.schema), payload, 40, dedup._candidates((4, 5))).collect()
+    assert components(range(300), links) == {i: i // 10 * 10 for i in range(300)}
+    assert made.value <= 2 * 600
+
+
+def test_a_small_graph_takes_no_rounds(spark, monkeypatch):
+    """A chain, a star, a loop and random links: their components are written twice at most, and are those of rounds."""
+    rng = np.random.default_rng(6)
+    links = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 100)] + [(-7, -7)] + [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(400, size=(250, 2))]
+    edges = spark.createDataFrame(links, "a long, b long").repartition(5)
+    root = components({i for p in links for i in p}, links)
+    want = sorted((i, r) for i, r in root.items() if i != r)
+    assert sorted(map(tuple, graphs.components(edges).collect())) == want
+    written, stored = [], graphs.stored
+    monkeypatch.setattr(graphs, "stored", lambda df, name: written.append(name) or stored(df, name))
+    assert sorted(map(tuple, graphs.components(edges, len(links)).collect())) == want and len(written) == 2
+    assert graphs.components(edges.limit(0), 10).count() == graphs.components(edges.filter("a = b"), 10).count() == 0
+
+
+def test_minhash_solves_small_graphs_in_one_task(spark, monkeypatch):
+    written, stored = [], graphs.stored
+    monkeypatch.setattr(graphs, "stored", lambda df, name: written.append(name) or stored(df, name))
+    said = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*said, *(f"x{j}" for j in range(i))])) for i in range(12)]
+    got = sorted(tuple(r) for r in dedup.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == expected(rows, 4, 5) and {r[2] for r in got} == {0}
+    # links between sketches, then those between full sets: what there is, and its components
+    assert len(written) <= 4
+
+
 def test_texts_with_one_passage_lose_no_link(spark, monkeypatch):
     """900 texts with one passage, every tenth followed by near copies, and texts that are little but the passage: no link is lost."""
     rng = np.random.default_rng(11)

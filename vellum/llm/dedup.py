@@ -34,6 +34,8 @@ WORDS, SKETCH, KEYS = 5, 64, 8
 SIMILARITY = (4, 5)
 #: Members of a list, and shingles of a component, that are compared with each other at once.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+#: Graphs of at most so many links, 4 MiB of them, are solved in one task.
+AT_ONCE = 1 << 18
 #: What rows are grouped by: a list's key, whether the tile is of a block, of two blocks of one side, or of blocks of two sides, and the blocks.
 TILE, OWN, WITHIN, ACROSS = ["key", "kind", "i", "j"], 0, 1, 2
 NONE = np.uint32(0xFFFFFFFF)
@@ -219,20 +221,21 @@ def links_within(light: DataFrame, payload: DataFrame, block: int, compare) -> D
     zero, h = F.lit(0).cast("long"), F.xxhash64("node")
     sized = light.groupBy("key").agg(F.min("seed").alias("low"), F.max("seed").alias("high"), F.sum("weight").alias("w")).filter("low < high")
     lists = stored(sized.select("key", F.ceil(F.col("w") / block).cast("long").alias("blocks")), "lists")
-    # written by itself, so that Spark knows how small it is where it is joined to all members
-    large = stored(lists.filter("blocks > 1").select("key"), "large")
-    any_large = not large.isEmpty()
-    at = F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    # light is made from every class, so it is read twice and no more: for the lists' sizes and for their members
+    members = stored(light.join(lists, "key"), "members")
+    large = members.filter("blocks > 1")
+    any_large = not lists.filter("blocks > 1").isEmpty()
+    rows, at = members, F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
     if any_large:
-        pivots = light.join(large, "key").groupBy("key").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", h), F.max_by("node", h)).alias("pivots"))
-        lists = lists.join(stored(pivots, "pivots"), "key", "left")
+        pivots = large.groupBy("key").agg(F.array(F.min("node"), F.max("node"), F.min_by("node", h), F.max_by("node", h)).alias("pivots"))
+        rows = members.join(stored(pivots, "pivots"), "key", "left")
         at = F.when(F.array_contains("pivots", F.col("node")), upto(F.col("blocks"))).otherwise(at)
-    first = light.join(lists, "key").select("key", "node", "seed", F.lit(0).alias("side"), F.explode(F.transform(at, lambda i: tile(OWN, i, zero, i))).alias("tile"))
+    first = rows.select("key", "node", "seed", F.lit(0).alias("side"), F.explode(F.transform(at, lambda i: tile(OWN, i, zero, i))).alias("tile"))
     edges = stored(dealt(first, payload).mapInArrow(compare, "a long, b long").hint("rebalance"), "links")
     if not any_large:
         return edges
-    roots = components(edges).select("node", F.col("root").alias("by_root"))
-    mine = light.join(large, "key").join(roots, "node", "left").select("key", "node", "weight", F.coalesce("by_root", "seed").alias("seed"))
+    roots = components(edges, AT_ONCE).select("node", F.col("root").alias("by_root"))
+    mine = large.join(roots, "node", "left").select("key", "node", "weight", F.coalesce("by_root", "seed").alias("seed"))
     shares = mine.groupBy("key", "seed").agg(F.sum("weight").alias("w"))
     count = lambda w: F.ceil(w / block).cast("long")
     sides = shares.groupBy("key").agg(F.max_by("seed", F.struct("w", "seed")).alias("most"), count(F.max("w")).alias("bm"), count(F.sum("w") - F.max("w")).alias("bo"), F.count("*").alias("k"))
@@ -275,8 +278,8 @@ def linked(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFra
     keys = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = stored(real.join(keys.withColumnsRenamed({"h1": "k1", "h2": "k2"}), F.expr("h1 = k1 and h2 = k2 and doc_id = rep")).dropDuplicates(["h1", "h2"]).select("rep", "h1", "h2", "n", "keys", "sketch"), "classes")
     with scope(docs.sparkSession):
-        near = components(candidates(classes, similarity))
-        roots = keep_out(components(verified(docs, classes, near, similarity).unionByName(_shared_ids(real, keys))), "roots")
+        near = components(candidates(classes, similarity), AT_ONCE)
+        roots = keep_out(components(verified(docs, classes, near, similarity).unionByName(_shared_ids(real, keys)), AT_ONCE), "roots")
     named_classes = classes.select("h1", "h2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
     out = s.select("doc_id", "n", "h1", "h2").join(named_classes, ["h1", "h2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
