@@ -97,3 +97,26 @@ def test_an_empty_table_and_odd_columns_pass(spark, sf_dir):
         for _, stage in pipeline.STAGES:
             rows = stored(stage(spark, rows, sf_dir), "test")
         assert set(docs.columns) <= set(rows.columns)
+
+
+def test_near_dedup_makes_the_members_of_lists_twice_at_most(spark, monkeypatch):
+    """40 texts with one passage and little else, so that lists have several blocks."""
+    made, within, keyed = spark.sparkContext.accumulator(0), dedup.links_within, []
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    def links_within(light, payload, block, compare):
+        if block != dedup.BLOCK:
+            return within(light, payload, block, compare)
+        keyed.append(light.count())
+        return within(light.mapInArrow(counted, light.schema), payload, block, compare)
+
+    monkeypatch.setattr(dedup, "BLOCK", 10)
+    monkeypatch.setattr(dedup, "links_within", links_within)
+    rows = [(i, " ".join([*(f"p{j}" for j in range(20)), *(f"t{i}w{j}" for j in range(12))])) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (99, rows[0][1] + " end")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == list(range(40))
+    assert keyed[0] < made.value <= 2 * keyed[0]
