@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from vellum import schemas
 from vellum.functions import convert
+from vellum.functions import text as words
 from vellum.operators import accounts, billing, documents, search, sharing
 from vellum.sources import scratch, tables
 from vellum.streaming import traffic as stream
@@ -289,6 +290,15 @@ def test_an_index_is_read_by_term(spark):
     assert search.search_index(spark, path, "the").count() == 200
 
 
+def test_postings_are_counted_in_their_row_and_shuffled_once(spark):
+    texts = [*INTRO, (None, "b a b"), (6, " ".join(f"w{i * i % 700}" for i in range(5_000)) + " 𝒳y 𝒳y z")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = search.postings(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    cut = docs.select("doc_id", words.tokens(F.col("text")).alias("w")).collect()
+    assert sorted(map(str, rows(got))) == sorted(str((t, r.doc_id, r.w.count(t), len(r.w))) for r in cut for t in set(r.w))
+
+
 # billing
 
 

@@ -24,6 +24,18 @@ def term_frequency(text: Column, term: str) -> Column:
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(alone)), F.lit(0)).cast("long")
 
 
+def term_counts(text: Column) -> Column:
+    """(term, tf, dl) of each different token, dl the number of all, inside the row: runs of the sorted tokens. A transform over an array of one evaluates its element once."""
+
+    def counts(w: Column) -> Column:
+        starts = F.filter(F.transform(w, lambda t, i: F.when((i == 0) | (t != F.get(w, i - 1)), i)), F.isnotnull)
+        length = lambda s, at, i: F.coalesce(F.get(s, i + 1), F.size(w)) - at
+        runs = lambda s: F.transform(s, lambda at, i: F.struct(F.get(w, at).alias("term"), length(s, at, i).cast("long").alias("tf"), F.size(w).cast("long").alias("dl")))
+        return F.get(F.transform(F.array(starts), runs), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(tokens(text))), counts), F.lit(0))
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 

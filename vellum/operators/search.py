@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.sources.scratch import stored
 
-#: Postings that one file of an index should hold at most on average, and folders by term.
-ROWS, BUCKETS = 1 << 22, 64
+#: Postings that one file of an index should hold at most on average, folders by term, and tokens whose postings a task should sort.
+ROWS, BUCKETS, TASK = 1 << 22, 64, 1 << 20
 
 
 def terms_of(spark: SparkSession, query: str | list[str]) -> list[str]:
@@ -51,9 +51,10 @@ def search(documents: DataFrame, query: str | list[str], mode: str = "all") -> D
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl): what an index holds. Terms are counted inside each document's row before anything is shuffled."""
-    words = documents.select("doc_id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    return words.select("doc_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(term, doc_id, tf, dl): what an index holds. Terms are counted inside each document's row; nothing is shuffled. The outer explode keeps Spark from
+    cutting each text a second time to see whether it has tokens, and dl beside each term from cutting it for each of them."""
+    each = documents.select("doc_id", F.explode_outer(T.term_counts(F.col("text"))).alias("x"))
+    return each.filter("x is not null").select("x.term", "doc_id", "x.tf", "x.dl")
 
 
 POSTINGS, LENGTHS, REMOVED, FACTS = "part int, batch int, term string, doc_id long, tf long, dl long, bucket int", "batch int, doc_id long, dl long", "batch int, doc_id long", "batch int, n long, tokens long"
@@ -83,7 +84,8 @@ def add_to_index(documents: DataFrame, path: str) -> None:
     """Indexes documents (doc_id, text), whose ids are different; one whose id is there already is replaced.
 
     Folders follow from a hash of the term, and a folder's postings are dealt by a hash of the document to as many files as their number asks for, so
-    no task holds all postings of a frequent term.
+    no task holds all postings of a frequent term. Postings are shuffled once, without what follows from them, to tasks whose number grows with the tokens, so that
+    each sorts its own in memory.
     """
     spark = documents.sparkSession
     lengths = stored(documents.select("doc_id", T.n_tokens(F.col("text")).alias("dl")), "lengths")
@@ -95,10 +97,11 @@ def add_to_index(documents: DataFrame, path: str) -> None:
     remove_from_index(lengths.select("doc_id"), path)
     batch = _last_batch(spark, path) + 1
     parts = 1 + tokens // (BUCKETS * ROWS)
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
-    dealt = postings(documents).withColumns({"batch": F.lit(batch), "bucket": bucket_of("term"), "part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")})
-    lot = F.pmod(F.col("bucket") * F.lit(parts) + F.col("part"), F.lit(wide)).cast("int")
-    dealt.repartitionById(wide, lot).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS * parts, 1 + tokens // TASK))
+    bucket, part = bucket_of("term"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    dealt = postings(documents).repartitionById(wide, F.pmod(bucket * F.lit(parts) + part, F.lit(wide)).cast("int"))
+    kept = dealt.withColumns({"batch": F.lit(batch), "bucket": bucket, "part": part})
+    kept.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("append").parquet(f"{path}/postings")
     lengths.select(F.lit(batch).alias("batch"), "doc_id", "dl").write.mode("append").parquet(f"{path}/lengths")
     spark.createDataFrame([(batch, n, tokens)], FACTS).write.mode("append").parquet(f"{path}/facts")
 
