@@ -246,6 +246,17 @@ def test_the_closure_goes_to_the_end_of_a_chain_and_ends_in_a_cycle(spark):
     assert sharing.reshare_closure(spark.createDataFrame([], SHARES), docs.limit(0), orgs).count() == 0
 
 
+def test_the_closure_sends_no_grants_to_the_driver(spark, sf_dir, monkeypatch):
+    """The plans of every table that it writes broadcast orgs at most."""
+    plans = []
+    monkeypatch.setattr(sharing, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or scratch.stored(df, name))
+    orgs = spark.createDataFrame([(1, True)], "org_id int, multi_level_share boolean")
+    docs = spark.createDataFrame([(1, "x", 1, 0, 5)], DOCS)
+    assert sharing.reshare_closure(spark.createDataFrame([(1, i, i + 1) for i in range(4)], SHARES), docs, orgs).count() == 5
+    assert len(plans) > 6 and not [p for p in plans if "BroadcastHashJoin" in p and "multi_level_share" not in p]
+    assert "SortMergeJoin" in (plan := tables.shares(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()) and plan.count("BroadcastHashJoin") <= 2
+
+
 # search
 
 

@@ -47,19 +47,19 @@ def reshare_closure(shares: DataFrame, documents: DataFrame, orgs: DataFrame, de
 
     Grants count beyond the first level only where the document's org has multi-level sharing. Every level is one join on doc_id and
     grantor, whose result is written, so that no plan grows with the levels. Pairs that are known are not followed again: cycles end, and the
-    levels go on until one adds nothing.
+    levels go on until one adds nothing. No join collects grants or users at the driver to broadcast them, which would come again with every level.
     """
     grants = stored(shares.select("doc_id", "grantor_id", "grantee_id").dropna().distinct(), "grants")
     owned = documents.filter("owner_id is not null and doc_id is not null").select("doc_id", F.col("owner_id").alias("user_id"))
     reached = stored(owned.distinct().withColumn("level", F.lit(0)), "reached")
     multi = documents.join(orgs.filter("multi_level_share").select("org_id"), "org_id", "left_semi").select("doc_id")
-    deep = stored(grants.join(multi, "doc_id", "left_semi"), "grants")
+    deep = stored(grants.join(multi.hint("merge"), "doc_id", "left_semi"), "grants")
     front, level = reached, 0
     while depth is None or level < depth:
         level += 1
-        step = front.select("doc_id", F.col("user_id").alias("grantor_id")).join(grants if level == 1 else deep, ["doc_id", "grantor_id"])
+        step = front.select("doc_id", F.col("user_id").alias("grantor_id")).join((grants if level == 1 else deep).hint("merge"), ["doc_id", "grantor_id"])
         step = step.select("doc_id", F.col("grantee_id").alias("user_id")).distinct()
-        front = stored(step.join(reached, ["doc_id", "user_id"], "left_anti").withColumn("level", F.lit(level)), "reached")
+        front = stored(step.join(reached.hint("merge"), ["doc_id", "user_id"], "left_anti").withColumn("level", F.lit(level)), "reached")
         if front.isEmpty():
             break
         reached = reached.unionByName(front)

@@ -64,7 +64,7 @@ def documents(spark: SparkSession, sf_dir: str, body: bool = False) -> DataFrame
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grants whose grantee's org the owner's org may share with."""
+    """Grants whose grantee's org the owner's org may share with. Users are not broadcast: the driver would collect them twice."""
     m = owners(spark, sf_dir)
     home = users(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("org_id") == F.col("n_nationkey"))
     region = home.select("user_id", F.col("n_regionkey").alias("region"))
@@ -79,7 +79,7 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     a = region.select(F.col("user_id").alias("grantor_id"), F.col("region").alias("ra"))
     b = region.select(F.col("user_id").alias("grantee_id"), F.col("region").alias("rb"))
-    return wish.join(a, "grantor_id").join(b, "grantee_id").filter("ra = rb").select("doc_id", "grantor_id", "grantee_id")
+    return wish.join(a.hint("merge"), "grantor_id").join(b.hint("merge"), "grantee_id").filter("ra = rb").select("doc_id", "grantor_id", "grantee_id")
 
 
 def traffic(events: DataFrame) -> DataFrame:
