@@ -310,6 +310,21 @@ def test_postings_are_counted_in_their_row_and_shuffled_once(spark):
     assert sorted(map(str, rows(got))) == sorted(str((t, r.doc_id, r.w.count(t), len(r.w))) for r in cut for t in set(r.w))
 
 
+def test_the_tasks_that_sort_postings_grow_with_the_tokens(spark, monkeypatch):
+    """Also those of documents that are replaced; no task sorts more than a bounded number of tokens' postings while there are folders to deal."""
+    monkeypatch.setattr(search, "TASK", 100, raising=False)
+    path = scratch.folder(spark, "index")
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the"), *[(F.col("id") * k).cast("string") for k in range(1, 9)]).alias("text"))
+    search.add_to_index(docs, path)
+    search.remove_from_index(docs.filter("doc_id % 5 = 0").select("doc_id"), path)
+    search.add_to_index(docs.filter("doc_id % 7 = 0"), path)
+    files = spark.read.parquet(f"{path}/postings").select("batch", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).distinct()
+    tasks = {r["batch"]: r["count"] for r in files.groupBy("batch").count().collect()}
+    assert len(tasks) == 2 and max(tasks.values()) > 20
+    left = docs.filter("doc_id % 5 <> 0 or doc_id % 7 = 0")
+    assert rows(search.search_index(spark, path, "the 84", "any").select("doc_id", F.round("score", 9))) == rows(search.search(left, "the 84", "any").select("doc_id", F.round("score", 9)))
+
+
 # billing
 
 
